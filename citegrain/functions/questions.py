@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from citegrain.functions.text import SENTENCE_GAP, SYMBOLS, contains_any, squeeze
+from citegrain.functions.text import SENTENCE_GAP, SYMBOLS, contains_any, let, squeeze
 
 HANGUL = "[가-힣]"
 
@@ -221,26 +221,40 @@ def scoring_kinds(question: Column) -> Column:
     return F.sort_array(F.array_distinct(F.concat(kinds(question), labels(extra))))
 
 
-def asked_terms(question: Column) -> list[tuple[Column, tuple[str, ...]]]:
-    """For each bilingual term: whether the question names it, and its English forms."""
+def asked_terms(question: Column) -> Column:
+    """English forms of the Korean terms a question names, one array per term."""
     compact = F.regexp_replace(F.lower(question), r"(?U)\s+", "")
-    return [(compact.contains(k.replace(" ", "")), v) for k, v in BILINGUAL_TERMS.items()]
-
-
-def selector_query(focus: Column) -> Column:
-    """The scoring form of ``focus``: no author attribution, intent hints appended."""
-    lowered, shape = F.lower(focus), kinds(focus)
-    tests = [(contains_any(lowered, found), hints) for _, found, hints in MARKERS]
-    tests += [(F.array_contains(shape, name), hints) for name, hints in KIND_HINTS]
-    tests += asked_terms(focus)
-    hints = F.array_distinct(
-        F.concat(
+    found = F.array_compact(
+        F.array(
             *[
-                F.when(test, F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>"))
-                for test, words in tests
+                F.when(compact.contains(korean.replace(" ", "")), F.array(*map(F.lit, forms)))
+                for korean, forms in BILINGUAL_TERMS.items()
             ]
         )
     )
+    none = F.array().cast("array<array<string>>")
+    return F.when(question.rlike(HANGUL), found).otherwise(none)
+
+
+def selector_query(focus: Column, kind_array: Column, terms: Column) -> Column:
+    """The scoring form of ``focus``: no author attribution, intent hints appended.
+
+    ``kind_array`` and ``terms`` are its ``kinds`` and ``asked_terms``.
+    """
+    lowered = F.lower(focus)
+    tests = [(contains_any(lowered, found), hints) for _, found, hints in MARKERS]
+    tests += [(F.array_contains(kind_array, name), hints) for name, hints in KIND_HINTS]
+    groups = F.array(
+        *[
+            F.when(test, F.array(*map(F.lit, words))).otherwise(F.array().cast("array<string>"))
+            for test, words in tests
+        ]
+    )
     text = squeeze(F.regexp_replace(focus, AUTHOR_ATTRIBUTION, ""))
-    tail = F.concat(F.lit(" [intent: "), F.array_join(hints, ", "), F.lit("]"))
-    return F.when(F.size(hints) > 0, F.concat(text, tail)).otherwise(text)
+    return let(
+        F.array_distinct(F.flatten(F.concat(groups, terms))),
+        lambda hints: F.when(
+            F.size(hints) > 0,
+            F.concat(text, F.lit(" [intent: "), F.array_join(hints, ", "), F.lit("]")),
+        ).otherwise(text),
+    )

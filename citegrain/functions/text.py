@@ -149,3 +149,36 @@ def nfkc(text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
+
+
+def occurrences(text: Column, pattern: str, before: int, after: int) -> Column:
+    """Every match of ``pattern`` with the text around it, as an array of
+    (before, match, after) structs."""
+    found = find_all(text, pattern)
+    gaps = F.split(text, pattern, -1)
+
+    def windows(matches: Column, between: Column) -> Column:
+        steps = F.zip_with(
+            matches, F.slice(between, F.lit(1), F.size(matches)),
+            lambda m, gap: F.length(gap) + F.length(m),
+        )
+        ends = F.aggregate(
+            steps, F.array(F.lit(0)),
+            lambda seen, step: F.concat(seen, F.array(F.element_at(seen, -1) + step)),
+        )
+        return let(
+            ends,
+            lambda end: F.transform(
+                matches,
+                lambda m, i: let(
+                    F.get(end, i + 1),
+                    lambda stop: F.struct(
+                        F.right(F.left(text, stop - F.length(m)), F.lit(before)).alias("before"),
+                        m.alias("match"),
+                        F.substring(text, stop + 1, F.lit(after)).alias("after"),
+                    ),
+                ),
+            ),
+        )
+
+    return let(found, lambda matches: let(gaps, lambda between: windows(matches, between)))

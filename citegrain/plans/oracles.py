@@ -179,3 +179,69 @@ odds AS (SELECT *, len(list_filter(asked, lambda x: list_contains(words, x))) AS
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id
                        ORDER BY round(rerank_score, 9) DESC, chunk_id) AS new_rank
              FROM (SELECT *, ln((hits + 0.5) / (len(asked) - hits + 0.5)) AS rerank_score FROM odds))"""
+
+
+_DOUBLED = "regexp_replace({t}, '([^\\pL\\pN_-])', '\\1\\1', 'g')"
+_EDGE_L, _EDGE_R = "(?:^|[^\\pL\\pN_])", "(?:$|[^\\pL\\pN_])"
+
+
+def facts(text: str) -> str:
+    """Sorted distinct facts of a text; word borders are spelled out and separators doubled
+    so that neighbours do not share one."""
+    doubled = _DOUBLED.format(t=text)
+    identifier = (
+        "[A-Z]{2,}[A-Za-z0-9_-]*|[A-Za-z]+[-_]\\d+[A-Za-z0-9_-]*"
+        "|[A-Z][A-Za-z0-9]*[-_][A-Z0-9][A-Za-z0-9_-]*|[A-Z][a-z]+(?:[A-Z][A-Za-z0-9]*)+"
+    )
+    qualifier = (
+        "not|never|only|except|without|higher|lower|increase[\\pL\\pN_]*|decrease[\\pL\\pN_]*"
+        "|improve[\\pL\\pN_]*|worse|more|less|up  to|at  least|at  most"
+    )
+    units = "ms|seconds?|secs?|minutes?|mins?|hours?|GB|MB|GiB|MiB|Hz|GHz|MHz|밀리초|초|분"
+    return (
+        "list_sort(list_distinct(list_concat("
+        f"regexp_extract_all({text}, '[-+]?\\d+(?:[.,]\\d+)*(?:%|[x×])?'), "
+        f"list_transform(regexp_extract_all({text}, '([-+]?\\d+(?:[.,]\\d+)*\\s*(?:{units}))(?:[^A-Za-z]|$)', 1), "
+        "lambda v: lower(regexp_replace(v, '\\s+', '', 'g'))), "
+        f"regexp_extract_all({doubled}, '{_EDGE_L}({identifier}){_EDGE_R}', 1), "
+        f"list_transform(regexp_extract_all(lower({doubled}), '{_EDGE_L}({qualifier}){_EDGE_R}', 1), "
+        "lambda v: replace(v, '  ', ' ')))))"
+    )
+
+
+def shingles(words: str) -> str:
+    return (
+        f"CASE WHEN len({words}) < 3 THEN list_distinct({words}) ELSE list_distinct(list_transform("
+        f"range(1, len({words}) - 1), lambda i: array_to_string({words}[i:i+2], ' '))) END"
+    )
+
+
+def selection_ctes() -> str:
+    """CTEs ending in ``chosen``: the greedy scan, one candidate per recursive step. Holds
+    for questions without a recognised kind or aspect, which the driver's texts are."""
+    return reranked_ctes() + f""",
+item AS (SELECT query_id, paper_id, chunk_id, page, new_rank AS r, plain, {facts('text')} AS facts,
+                {shingles('plain')} AS sh
+         FROM (SELECT *, {plain('text')} AS plain FROM reranked WHERE new_rank <= 20)),
+near AS (SELECT b.query_id, b.paper_id, b.r,
+           list(a.r) FILTER (WHERE a.facts = b.facts AND a.plain = b.plain) AS same_text,
+           list(a.r) FILTER (WHERE a.facts = b.facts AND len(list_intersect(a.sh, b.sh))::DOUBLE /
+             greatest(1, len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))) >= 0.85) AS near_text,
+           list(a.r) FILTER (WHERE a.page = b.page) AS same_page
+         FROM item b LEFT JOIN item a ON a.query_id = b.query_id AND a.paper_id = b.paper_id AND a.r < b.r
+         GROUP BY ALL),
+scan(query_id, paper_id, r, sel, dup_text, near_dup, capped) AS (
+  SELECT query_id, paper_id, 0::BIGINT, []::BIGINT[], 0, 0, 0 FROM ask
+  UNION ALL
+  SELECT s.query_id, s.paper_id, n.r,
+         CASE WHEN v = 'pick' THEN list_append(sel, n.r) ELSE sel END,
+         dup_text + (v = 'text')::INT, near_dup + (v = 'near')::INT, capped + (v = 'page')::INT
+  FROM (SELECT s.*, n.r AS nr, CASE
+          WHEN list_has_any(sel, coalesce(same_text, [])) THEN 'text'
+          WHEN list_has_any(sel, coalesce(near_text, [])) THEN 'near'
+          WHEN len(list_intersect(sel, coalesce(same_page, []))) >= 2 THEN 'page' ELSE 'pick' END AS v
+        FROM scan s JOIN near n ON n.query_id = s.query_id AND n.paper_id = s.paper_id AND n.r = s.r + 1
+        WHERE len(sel) < 5) s
+  JOIN near n ON n.query_id = s.query_id AND n.paper_id = s.paper_id AND n.r = s.nr
+),
+chosen AS (SELECT * FROM scan QUALIFY row_number() OVER (PARTITION BY query_id, paper_id ORDER BY r DESC) = 1)"""

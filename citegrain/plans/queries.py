@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.functions import headings, questions, text
-from citegrain.operators import evidence, index, ingest, jobs, metrics, retrieve, validate
-from citegrain.operators.windows import ASK, top_k
-from citegrain.plans import corpora, oracles as sql, shared
+from citegrain.functions import headings, numbers, questions, text
+from citegrain.operators import (
+    answer, evidence, index, ingest, jobs, metrics, policy, retrieve, sentences, validate,
+)
+from citegrain.operators.windows import ASK
+from citegrain.plans import answer as answering, corpora, oracles as sql, shared
 from citegrain.plans.corpora import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,3 +441,490 @@ def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce("language", F.lit("all")).alias("language"), "questions",
         *[_r(f"recall_at_{k}").alias(f"recall_at_{k}") for k in metrics.KS], _r("mrr").alias("mrr"),
     )
+
+
+# --- evidence --------------------------------------------------------------------------
+
+
+ORACLES["fact_tokens"] = (
+    f"SELECT doc_id, facts FROM (SELECT doc_id, array_to_string({sql.facts('text')}, '|') AS facts "
+    "FROM documents) WHERE facts <> ''"
+)
+
+
+@query(
+    sql.COLLECTION + "," + sql.reranked_ctes()
+    + f""", item AS (SELECT query_id, chunk_id, new_rank, {sql.shingles('plain')} AS sh FROM (
+  SELECT *, {sql.plain('text')} AS plain FROM reranked WHERE new_rank <= 20)),
+sides AS (SELECT b.query_id, b.chunk_id, len(list_intersect(a.sh, b.sh)) AS shared, len(a.sh) + len(b.sh) AS total
+  FROM item b JOIN item a ON a.query_id = b.query_id AND a.new_rank = 1)
+SELECT query_id, chunk_id, CASE WHEN total = 0 THEN 1 ELSE round(shared::DOUBLE / (total - shared), 6) END
+  AS similarity FROM sides"""
+)
+def candidate_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle overlap of every candidate with the best candidate of its question."""
+    rows = shared.collection_search(spark, folder).candidates.select(
+        *ASK, "rank", "chunk_id", text.shingles(text.plain_tokens(F.col("text"))).alias("sh")
+    )
+    best = rows.where("rank = 1").select(*ASK, F.col("sh").alias("best"))
+    return rows.join(best, list(ASK)).select(
+        "query_id", "chunk_id", _r(text.jaccard(F.col("best"), F.col("sh"))).alias("similarity")
+    )
+
+
+@query(
+    sql.COLLECTION + "," + sql.selection_ctes()
+    + """ SELECT query_id, len(sel)::BIGINT AS selected, dup_text::BIGINT AS duplicate_text,
+  near_dup::BIGINT AS near_duplicate, capped::BIGINT AS page_cap FROM chosen"""
+)
+def evidence_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy selection per question: how many were kept and why others were skipped."""
+    rows = shared.collection_search(spark, folder).selection
+    return rows.select(
+        "query_id", F.size("selected").cast("long").alias("selected"),
+        *_long("duplicate_text", "near_duplicate", "page_cap"),
+    )
+
+
+@query(
+    sql.COLLECTION + "," + sql.selection_ctes()
+    + """, picked AS (SELECT query_id, paper_id, unnest(sel) AS r, generate_subscripts(sel, 1) AS rank FROM chosen)
+SELECT p.query_id, 'ev-' || lpad(rank::VARCHAR, 2, '0') || '-' || chunk_id AS evidence_id, page::BIGINT AS page
+FROM picked p JOIN item i ON i.query_id = p.query_id AND i.paper_id = p.paper_id AND i.r = p.r"""
+)
+def evidence_items(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shared.collection_search(spark, folder).evidence
+    return rows.select("query_id", "evidence_id", *_long("page"))
+
+
+_OVERLAP = (
+    "coalesce(list_filter(range(least(length({a}), length({b}), 400), 19, -1), "
+    "lambda n: right({a}, n) = left({b}, n))[1], 0)"
+)
+
+
+@query(
+    "WITH RECURSIVE " + sql.chunk_ctes(sql.DOCUMENTS)
+    + """, near AS (SELECT chunk_id, text, lag(chunk_id) OVER w AS previous_id, lag(text) OVER w AS previous_text,
+  lead(chunk_id) OVER w AS next_id FROM chunk WINDOW w AS (PARTITION BY paper_id, page ORDER BY chunk_index))
+SELECT chunk_id, coalesce(previous_id, '') AS previous_id, coalesce(next_id, '') AS next_id,
+  coalesce(""" + _OVERLAP.format(a="previous_text", b="text") + """, 0)::BIGINT AS overlap FROM near"""
+)
+def chunk_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Previous and next chunk in a section, and the text shared with the previous one."""
+    rows = evidence.neighbours(shared.documents(spark, folder).chunks)
+    shared_text = text.overlap_length(F.col("previous_text"), F.col("text"))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select(
+        "chunk_id", blank("previous_id"), blank("next_id"),
+        F.coalesce(shared_text, F.lit(0)).cast("long").alias("overlap"),
+    )
+
+
+@query()
+def context_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence extended by its neighbours where the merged text fits."""
+    found = shared.collection_search(spark, folder)
+    rows = evidence.context_windows(found.evidence, shared.collection(spark, folder))
+    return rows.select(
+        "query_id", "evidence_id", F.array_join("source_chunk_ids", "|").alias("source_chunk_ids"),
+        F.length("text").cast("long").alias("chars"),
+    )
+
+
+# --- answers ---------------------------------------------------------------------------
+
+
+@query(
+    sql.PER_CONVERSATION + "," + sql.reranked_ctes()
+    + """ SELECT a.query_id, count(r.chunk_id)::BIGINT AS candidates,
+  CASE WHEN count(r.chunk_id) = 0 THEN 'no_candidates' WHEN max(rerank_score) < -3.35 THEN 'low_relevance'
+       ELSE 'answer' END AS decision
+FROM ask a LEFT JOIN (SELECT * FROM reranked WHERE new_rank <= 20) r USING (query_id, paper_id) GROUP BY a.query_id"""
+)
+def relevance_gate(spark: SparkSession, folder: str) -> DataFrame:
+    found = shared.conversation_search(spark, folder)
+    asks = corpora.conversation_asks(spark, folder).select(*ASK)
+    signals = asks.join(evidence.retrieval_signals(found.selection), list(ASK), "left").fillna(
+        0, ["candidate_count", "evidence_count"]
+    )
+    decided = policy.relevance_decision(signals)
+    return decided.select(
+        "query_id", F.col("candidate_count").cast("long").alias("candidates"),
+        F.coalesce("reason_code", F.lit("answer")).alias("decision"),
+    )
+
+
+@query()
+def sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """How many evidence sentences each usability rule turned away."""
+    rows = sentences.candidate_sentences(
+        shared.collection_search(spark, folder).evidence, shared.OPEN_BODY
+    )
+    return rows.groupBy(F.coalesce("reject_reason", F.lit("usable")).alias("outcome")).agg(
+        F.count("*").alias("sentences")
+    )
+
+
+@query()
+def quoted_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shared.collection_answers(spark, folder).quoted
+    return rows.select(
+        "query_id", *_long("quote_rank"), "sentence_id", "anchor_sentence_id", "evidence_id",
+        _r("selector_score").alias("selector_score"), F.md5("text").alias("digest"),
+    )
+
+
+@query()
+def answer_sources(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shared.collection_answers(spark, folder).sources
+    return rows.select("query_id", *_long("quote_rank"), "sentence_id", "evidence_id")
+
+
+@query()
+def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = shared.collection_answers(spark, folder).outcomes
+    return rows.select(
+        "query_id", F.coalesce("reason_code", F.lit("answered")).alias("outcome"), "payload.sufficiency",
+        F.array_join("payload.evidence_ids", "|").alias("evidence_ids"),
+        F.length("payload.answer").cast("long").alias("answer_chars"),
+    )
+
+
+@query()
+def answer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    composed = shared.collection_answers(spark, folder).composed.where("violation IS NULL")
+    return answer.alignment(composed).select(
+        "query_id", *_long("position"), "sentence_id", "evidence_id", "translation_status"
+    )
+
+
+@query()
+def answer_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    return answering.funnel(shared.conversation_answers(spark, folder).outcomes)
+
+
+@query()
+def payload_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """Contract rules broken by the produced payloads; none should be."""
+    found = shared.collection_search(spark, folder)
+    known = found.evidence.groupBy(*ASK).agg(F.collect_list("evidence_id").alias("known"))
+    rows = shared.collection_answers(spark, folder).outcomes.join(known, list(ASK), "left")
+    broken = answer.payload_violations(
+        F.col("payload"), questions.language(F.col("question")),
+        F.coalesce("known", F.array().cast("array<string>")),
+    )
+    return rows.select(F.size(broken).cast("long").alias("violations")).groupBy("violations").agg(
+        F.count("*").alias("payloads")
+    )
+
+
+@query()
+def number_claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Canonical numbers and measurements stated in every document that states any."""
+    docs = texts(spark, folder, "documents", "doc_id", "text")
+    found = docs.select(
+        "doc_id", F.array_join(numbers.numbers(F.col("text"), words=False), "|").alias("numbers"),
+        F.array_join(numbers.units(F.col("text")), "|").alias("units"),
+    )
+    return found.where("numbers <> ''")
+
+
+# --- scores ----------------------------------------------------------------------------
+
+_CASES = """SELECT doc_id::VARCHAR AS case_id, source || ':' || (doc_id // 40) AS meaning_id, source AS split, lang,
+  CASE WHEN max(l.quality) OVER m = 1 THEN 'answerable' WHEN max(l.toxic) OVER m = 1 THEN 'false_premise'
+       ELSE 'unsupported' END AS answerability, n_chars, quality, toxic
+FROM documents d JOIN labels l USING (doc_id) WINDOW m AS (PARTITION BY source || ':' || (doc_id // 40))"""
+
+
+def _cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents as benchmark cases; two documents of a source share a meaning."""
+    rows = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars").join(
+        table(spark, folder, "labels"), "doc_id"
+    )
+    meaning = F.concat_ws(":", "source", F.floor(F.col("doc_id") / 40).cast("string"))
+    kinds = rows.groupBy(meaning.alias("meaning_id")).agg(
+        F.max("quality").alias("q"), F.max("toxic").alias("t")
+    )
+    answerability = F.when(F.col("q") == 1, "answerable").when(
+        F.col("t") == 1, "false_premise"
+    ).otherwise("unsupported")
+    return rows.withColumn("meaning_id", meaning).join(kinds, "meaning_id").select(
+        F.col("doc_id").cast("string").alias("case_id"), "meaning_id", F.col("source").alias("split"),
+        "lang", answerability.alias("answerability"), "n_chars", "quality", "toxic",
+    )
+
+
+_QUALITY_RECORDS = f"""SELECT *, n_chars >= 400 AS valid, n_chars >= 1200 AS ans, n_chars BETWEEN 400 AND 1199 AS ref,
+  n_chars >= 2500 AS cited, toxic = 1 AS fallback, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS marks,
+  n_chars >= 2000 AS marked_ok FROM ({_CASES})"""
+_PAIRED = f"""WITH u AS (SELECT meaning_id, answerability AS a, split, bool_and(valid) AS valid, bool_and(ans) AS all_ans,
+  bool_or(ans) AS any_ans, bool_and(ref) AS all_ref, bool_or(ref) AS any_ref, bool_and(cited) AS cited,
+  bool_or(marks > 0) AS marked, bool_and(marked_ok) AS marks_ok, sum((NOT valid)::INT) AS invalid,
+  sum(fallback::INT) AS fb FROM ({_QUALITY_RECORDS}) GROUP BY ALL)
+SELECT coalesce(split, 'all') AS split, count(*)::BIGINT AS units, round(avg(valid::INT), 6) AS valid_final_contract_rate,
+  (count(*) FILTER (WHERE a = 'answerable'))::BIGINT AS answerable_units,
+  round(avg(all_ans::INT) FILTER (WHERE a = 'answerable'), 6) AS answerable_retention,
+  round(avg(any_ref::INT) FILTER (WHERE a = 'answerable'), 6) AS false_refusal_rate,
+  round(avg(all_ref::INT) FILTER (WHERE a = 'unsupported'), 6) AS unsupported_final_refusal_rate,
+  round(avg(all_ref::INT) FILTER (WHERE a = 'false_premise'), 6) AS false_premise_final_refusal_rate,
+  round(avg(any_ans::INT) FILTER (WHERE a <> 'answerable'), 6) AS unsupported_answer_rate,
+  round(avg(cited::INT) FILTER (WHERE a = 'answerable'), 6) AS all_required_pages_cited_rate,
+  sum(invalid)::BIGINT AS invalid_outputs, sum(fb)::BIGINT AS fallback_outputs,
+  round(avg(marks_ok::INT) FILTER (WHERE a = 'answerable' AND marked), 6) AS all_required_markers_present_rate
+FROM u GROUP BY GROUPING SETS ((), (split))"""
+
+
+@query(_PAIRED)
+def paired_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Two-level quality rates, over all labelled documents and per source."""
+    n = F.col("n_chars")
+    records = _cases(spark, folder).select(
+        "meaning_id", "split", "answerability",
+        (n >= 400).alias("valid_contract"), (n >= 1200).alias("final_answer"),
+        n.between(400, 1199).alias("final_refusal"), (n >= 2500).alias("all_required_pages_cited"),
+        (F.col("toxic") == 1).alias("fallback_used"),
+        F.when(F.col("quality") == 1, 1).otherwise(0).alias("required_marker_count"),
+        (n >= 2000).alias("all_required_markers_present"),
+    )
+    columns = (
+        "units", "valid_final_contract_rate", "answerable_units", "answerable_retention",
+        "false_refusal_rate", "unsupported_final_refusal_rate", "false_premise_final_refusal_rate",
+        "unsupported_answer_rate", "all_required_pages_cited_rate", "invalid_outputs",
+        "fallback_outputs", "all_required_markers_present_rate",
+    )
+    shown = [_r(c).alias(c) if c.endswith("_rate") or c.endswith("retention") else F.col(c) for c in columns]
+    whole = metrics.quality_summary(records).select(F.lit("all").alias("split"), *shown)
+    return whole.unionByName(metrics.quality_summary(records, by="split").select("split", *shown))
+
+
+@query(
+    f"""WITH u AS (SELECT meaning_id, answerability AS a, lang, bool_and(n_chars >= 800) AS all_ans, bool_or(n_chars >= 800) AS any_ans,
+  bool_and(n_chars < 800) AS all_ref, bool_and(n_chars >= 1500) AS facts, bool_and(n_chars >= 2500) AS hit,
+  sum((n_chars >= 300)::INT) AS valid, sum(toxic) AS fb, sum(n_chars / 1000.0::DOUBLE) AS wall, count(*) AS n FROM ({_CASES}) GROUP BY ALL)
+SELECT lang AS language, sum(n)::BIGINT AS language_outputs, count(*)::BIGINT AS meaning_groups, sum(valid)::BIGINT AS contract_valid,
+  (count(*) FILTER (WHERE a = 'answerable' AND all_ans))::BIGINT AS answerable_retained,
+  (count(*) FILTER (WHERE a = 'answerable' AND facts))::BIGINT AS all_fact_aliases,
+  (count(*) FILTER (WHERE a = 'answerable' AND hit))::BIGINT AS acceptable_source_page_hit,
+  (count(*) FILTER (WHERE a <> 'answerable' AND any_ans))::BIGINT AS negative_answers,
+  (count(*) FILTER (WHERE a = 'unsupported' AND all_ref))::BIGINT AS unsupported_refused,
+  sum(fb)::BIGINT AS fallback_outputs, round(sum(wall) / sum(n), 6) AS mean_wall_seconds FROM u GROUP BY lang"""
+)
+def corpus_summary(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("n_chars")
+    records = _cases(spark, folder).select(
+        "meaning_id", "answerability", F.col("lang").alias("language"),
+        (n >= 300).alias("contract_valid"), (n >= 800).alias("answered"), (n < 800).alias("refused"),
+        (n >= 1500).alias("all_fact_aliases"), (n >= 2500).alias("acceptable_source_page_hit"),
+        (F.col("toxic") == 1).alias("fallback_used"), (n / 1000.0).alias("wall_seconds"),
+    )
+    return metrics.corpus_summary(records, by="language").select(
+        "language", "language_outputs", "meaning_groups", "contract_valid", "answerable_retained",
+        "all_fact_aliases", "acceptable_source_page_hit", "negative_answers", "unsupported_refused",
+        "fallback_outputs", _r("mean_wall_seconds").alias("mean_wall_seconds"),
+    )
+
+
+@query(
+    """SELECT source AS split, count(*)::BIGINT AS total, sum(((n_chars >= 1000) = (quality = 1))::INT)::BIGINT AS correct,
+  round(avg(((n_chars >= 1000) = (quality = 1))::INT), 6) AS accuracy
+FROM documents JOIN labels USING (doc_id) GROUP BY source"""
+)
+def abstention_summary(spark: SparkSession, folder: str) -> DataFrame:
+    side = lambda test: F.when(test, "sufficient").otherwise("insufficient")
+    rows = _cases(spark, folder).select(
+        "split", side(F.col("quality") == 1).alias("expected"), side(F.col("n_chars") >= 1000).alias("actual")
+    )
+    return metrics.abstention_summary(rows).withColumn("accuracy", _r("accuracy"))
+
+
+@query(
+    """SELECT v.verdict, count(l.doc_id)::BIGINT AS reviews FROM (VALUES ('pass'), ('partial'), ('fail')) v(verdict)
+LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN 'fail' WHEN quality = 1 THEN 'pass' ELSE 'partial' END AS verdict
+  FROM labels) l ON l.verdict = v.verdict GROUP BY v.verdict"""
+)
+def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.counts_over(
+        _reviews(spark, folder), "verdict", ("pass", "partial", "fail"), "reviews"
+    )
+
+
+def _reviews(spark: SparkSession, folder: str) -> DataFrame:
+    verdict = F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 1, "pass").otherwise("partial")
+    return table(spark, folder, "labels").select(
+        "doc_id", verdict.alias("verdict"), (F.col("quality") == 1).alias("language_match"),
+        F.when(F.col("toxic") == 1, F.array(F.lit("false_abstention")))
+        .otherwise(F.array().cast("array<string>")).alias("failure_types"),
+    )
+
+
+@query(
+    """SELECT count(*)::BIGINT AS questions_reviewed, round(avg((toxic = 0 AND quality = 1)::INT), 6) AS strict_pass_rate,
+  round(avg((toxic = 0)::INT), 6) AS pass_or_partial_rate, sum((quality = 1)::INT)::BIGINT AS language_match,
+  sum((toxic = 1)::INT)::BIGINT AS false_abstentions FROM labels"""
+)
+def review_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.review_summary(_reviews(spark, folder)).select(
+        "questions_reviewed", _r("strict_pass_rate").alias("strict_pass_rate"),
+        _r("pass_or_partial_rate").alias("pass_or_partial_rate"), "language_match", "false_abstentions",
+    )
+
+
+@query(
+    """SELECT event_type, count(*)::BIGINT AS samples, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 6) AS median,
+  round(quantile_disc(value, 0.95), 6) AS p95, max(value) AS maximum FROM events GROUP BY event_type"""
+)
+def timing_nearest_rank(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_type", "value")
+    return metrics.nearest_rank(events, ["event_type"], "value").select(
+        "event_type", "samples", F.round("mean", 4).alias("mean"), _r("median").alias("median"),
+        _r("p95").alias("p95"), "maximum",
+    )
+
+
+@query(
+    """SELECT event_type, count(*)::BIGINT AS samples, round(quantile_cont(value, 0.5), 6) AS p50_seconds,
+  round(quantile_cont(value, 0.95), 6) AS p95_seconds, min(value) AS min_seconds, max(value) AS max_seconds
+FROM events GROUP BY event_type"""
+)
+def timing_interpolated(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_type", "value")
+    return metrics.interpolated(events, ["event_type"], "value").select(
+        "event_type", "samples", _r("p50_seconds").alias("p50_seconds"),
+        _r("p95_seconds").alias("p95_seconds"), "min_seconds", "max_seconds",
+    )
+
+
+@query(
+    """SELECT event_type || '.' || k AS stage, count(*)::BIGINT AS samples, round(sum(v), 2) AS seconds FROM (
+  SELECT event_type, unnest(['run_seconds', 'wait_seconds']) AS k, unnest([value, event_id % 7 + 0.5::DOUBLE]) AS v FROM events)
+GROUP BY 1"""
+)
+def stage_timings(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested timings flattened to stages; entries that are no seconds are left out."""
+    entries = F.create_map(
+        F.lit("run_seconds"), F.col("value"), F.lit("wait_seconds"), F.col("event_id") % 7 + F.lit(0.5),
+        F.lit("attempts"), F.lit(1.0),
+    )
+    rows = table(spark, folder, "events").select(
+        "event_id", F.create_map(F.col("event_type"), entries).alias("stage_timings")
+    )
+    return metrics.stage_values(rows).groupBy("stage").agg(
+        F.count("*").alias("samples"), F.round(F.sum("seconds"), 2).alias("seconds")
+    )
+
+
+_CAL = """r AS (SELECT doc_id // 2 || ':' || quality AS m, quality = 1 AS pos, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE ln(n_chars) END AS score,
+  toxic = 1 AS missing FROM labels JOIN documents USING (doc_id)),
+v AS (SELECT score AS lo, lead(score) OVER (ORDER BY score) AS hi FROM (SELECT DISTINCT score FROM r WHERE score IS NOT NULL)),
+t AS (SELECT CASE WHEN hi IS NULL THEN lo + 0.000001 ELSE (lo + hi) / 2 END AS threshold FROM v
+      UNION ALL SELECT min(lo) - 0.000001 FROM v),
+a AS (SELECT threshold, m, pos, bool_and(NOT missing AND (score IS NULL OR score >= threshold)) AS kept,
+        bool_and(NOT (NOT missing AND (score IS NULL OR score >= threshold))) AS refused
+      FROM t, r GROUP BY ALL),
+c AS (SELECT threshold, avg(kept::INT) FILTER (WHERE pos) AS retention, avg(refused::INT) FILTER (WHERE NOT pos) AS refusal
+      FROM a GROUP BY threshold)"""
+
+
+@query(
+    f"WITH {_CAL} SELECT round(threshold, 6) AS threshold, round(retention, 6) AS retention, round(refusal, 6) AS refusal FROM c"
+)
+def threshold_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.threshold_candidates(_calibration(spark, folder)).select(
+        _r("threshold").alias("threshold"), _r("answerable_group_retention").alias("retention"),
+        _r("unsupported_group_refusal_recall").alias("refusal"),
+    )
+
+
+@query(
+    f"""WITH {_CAL} SELECT round(threshold, 6) AS threshold, round(retention, 6) AS retention, round(refusal, 6) AS refusal
+FROM c WHERE retention >= 0.6 ORDER BY c.refusal DESC, c.threshold DESC LIMIT 1"""
+)
+def threshold_choice(spark: SparkSession, folder: str) -> DataFrame:
+    scan = metrics.threshold_candidates(_calibration(spark, folder))
+    return metrics.select_threshold(scan, 0.6).select(
+        _r("threshold").alias("threshold"), _r("answerable_group_retention").alias("retention"),
+        _r("unsupported_group_refusal_recall").alias("refusal"),
+    )
+
+
+def _calibration(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labels").join(
+        table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id"
+    )
+    return rows.select(
+        F.concat_ws(":", F.floor(F.col("doc_id") / 2).cast("string"), "quality").alias("meaning_id"),
+        F.when(F.col("quality") == 1, "answerable").otherwise("unsupported").alias("answerability"),
+        F.when(F.col("n_chars") % 11 != 0, F.ln("n_chars")).alias("score"),
+        F.lit(1).alias("evidence_count"), (F.col("toxic") == 1).alias("missing"),
+    )
+
+
+# --- jobs and constraints --------------------------------------------------------------
+
+_STATUS = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed'
+  WHEN 'error' THEN 'failed' END"""
+
+
+def _job_events(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "view", "queued").when(kind == "click", "running")
+        .when(kind == "purchase", "completed").when(kind == "error", "failed")
+    )
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("at"), "event_id"
+    ).where("status IS NOT NULL")
+
+
+_LATEST = f"""SELECT user_id AS paper_id, arg_max(s, (ts, event_id)) AS status FROM (SELECT *, {_STATUS} AS s FROM events)
+WHERE s IS NOT NULL GROUP BY user_id"""
+
+
+@query(_LATEST)
+def job_latest_state(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.latest_state(_job_events(spark, folder), tie="event_id").select("paper_id", "status")
+
+
+@query(
+    f"""SELECT sum((status = 'queued')::INT)::BIGINT AS queued, sum((status = 'running')::INT)::BIGINT AS running,
+  sum((status = 'completed')::INT)::BIGINT AS completed, sum((status = 'failed')::INT)::BIGINT AS failed FROM ({_LATEST})"""
+)
+def job_status_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.status_counts(jobs.latest_state(_job_events(spark, folder), tie="event_id"))
+
+
+@query(
+    """SELECT 'missing' AS rule, doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'extra', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""
+)
+def unlabelled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.key_differences(
+        table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id"
+    )
+
+
+@query(
+    """SELECT 'leak_digest' AS rule, md5(text) AS id FROM documents GROUP BY md5(text) HAVING count(DISTINCT source) > 1"""
+)
+def split_leakage(spark: SparkSession, folder: str) -> DataFrame:
+    """Identical texts that occur in more than one source."""
+    rows = table(spark, folder, "documents").select(
+        F.md5("text").alias("digest"), F.col("source").alias("split")
+    )
+    return validate.split_leakage(rows, "digest")
+
+
+@query(
+    """SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM labels b LEFT JOIN
+(SELECT doc_id, quality, CASE WHEN quality = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels WHERE quality = 1 OR toxic = 0) a
+USING (doc_id) WHERE a.doc_id IS NULL OR a.toxic <> b.toxic"""
+)
+def changed_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Difference of the labels before and after a relabelling."""
+    before = table(spark, folder, "labels")
+    after = before.where("quality = 1 OR toxic = 0").withColumn(
+        "toxic", F.when(F.col("quality") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic"))
+    )
+    return validate.changed_rows(before, after, "doc_id")

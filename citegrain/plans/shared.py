@@ -15,9 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citegrain.operators import index as indexing
 from citegrain.operators.ingest import Ingested
+from citegrain.operators.sentences import SentencePolicy
 from citegrain.plans import corpora
+from citegrain.plans.answer import Answered, answer
 from citegrain.plans.search import SearchResult, search
 
+# the driver's texts have no headings, so unclassified body text may be quoted
+OPEN_BODY = SentencePolicy(allow_unclassified_body=True)
+
 T = TypeVar("T")
 _memo: dict[tuple[str, str, str], object] = {}
 
@@ -94,6 +99,26 @@ def conversation_search(spark: SparkSession, folder: str) -> SearchResult:
     return _once(spark, folder, "conversation_search", build)
 
 
+def collection_answers(spark: SparkSession, folder: str) -> Answered:
+    return _once(
+        spark, folder, "answers",
+        lambda: answer(
+            corpora.collection_asks(spark, folder), collection_search(spark, folder),
+            sentence_policy=OPEN_BODY,
+        ),
+    )
+
+
+def conversation_answers(spark: SparkSession, folder: str) -> Answered:
+    return _once(
+        spark, folder, "conversation_answers",
+        lambda: answer(
+            corpora.conversation_asks(spark, folder), conversation_search(spark, folder),
+            sentence_policy=OPEN_BODY,
+        ),
+    )
+
+
 def _kept_result(found: SearchResult) -> SearchResult:
     candidates, selection = _kept(found.candidates), _kept(found.selection)
     return SearchResult(found.bm25, found.dense, found.pool, candidates, selection, found.evidence)

@@ -13,7 +13,7 @@ PUBLIC_STATUS = {
 MAX_PENDING = 16
 # what each state may follow; None stands for a paper without a job
 FOLLOWS = {
-    "queued": (None, "failed", "running"),
+    "queued": (None, "failed"),
     "running": ("queued",),
     "completed": ("running",),
     "failed": ("running",),

@@ -124,12 +124,18 @@ def clean_text(text: Column) -> Column:
 def overlap_length(left: Column, right: Column, low: int = 20, high: int = 400) -> Column:
     """Longest suffix of ``left`` that starts ``right``, between ``low`` and ``high``
     characters; 0 when there is none."""
-    longest = F.least(F.length(left), F.length(right), F.lit(high))
-    sizes = F.when(longest >= low, F.sequence(longest, F.lit(low), F.lit(-1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    fits = F.filter(sizes, lambda n: F.right(left, n) == F.left(right, n))
-    return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+    ends = F.struct(F.right(left, F.lit(high)).alias("tail"), F.left(right, F.lit(high)).alias("head"))
+
+    def longest(e: Column) -> Column:
+        limit = F.least(F.length(e["tail"]), F.length(e["head"]))
+        sizes = F.when(
+            (limit >= low) & e["tail"].contains(F.left(e["head"], F.lit(low))),
+            F.sequence(limit, F.lit(low), F.lit(-1)),
+        ).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(sizes, lambda n: F.right(e["tail"], n) == F.left(e["head"], n))
+        return F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
+
+    return let(ends, longest)
 
 
 def merge_overlap(left: Column, right: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from citegrain.functions.text import tokens
 from citegrain.operators.index import B, K1, TermIndex
 from citegrain.operators.windows import ASK, by_score, top_k
-from citegrain.session import broadcast_if_small, checkpoint
+from citegrain.session import broadcast_if_small, checkpoint, spread
 
 SOURCE_K, CANDIDATE_K, RRF_K = 20, 20, 60
 
@@ -102,26 +102,34 @@ def _blocks(
     A paper of any size is cut into blocks of about ``chunk_block`` chunks, so no task
     holds a whole paper, and no score leaves a block unless it can still win.
     """
-    sizes = vectors.groupBy("paper_id").agg(
-        F.ceil(F.count("*") / chunk_block).cast("int").alias("chunk_blocks")
-    )
+    sizes = vectors.groupBy("paper_id").agg(F.count("*").alias("chunks"))
     asked = questions.groupBy("paper_id").agg(
         F.ceil(F.count("*") / question_block).cast("int").alias("question_blocks")
     )
-    grid = sizes.join(asked, "paper_id")
+    # small papers share lanes of about one block, so that a task is not spent on each
+    small = F.col("chunks") * 16 <= chunk_block
+    together = sizes.where(small).agg(F.sum("chunks")).first()[0] or 0
+    lanes = -(-together // chunk_block) or 1
+    lane = F.when(small, F.pmod(F.xxhash64("paper_id"), F.lit(lanes)).cast("string"))
+    grid = sizes.join(asked, "paper_id").select(
+        "paper_id",
+        "question_blocks",
+        F.ceil(F.col("chunks") / chunk_block).cast("int").alias("chunk_blocks"),
+        F.coalesce(lane, F.concat(F.lit("paper "), "paper_id")).alias("lane"),
+    )
     to_block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     chunk_side = vectors.join(grid, "paper_id").select(
-        "paper_id", *carried, "vector",
+        "lane", "paper_id", *carried, "vector",
         to_block("chunk_id", "chunk_blocks").alias("c"),
         F.explode(F.sequence(F.lit(0), F.col("question_blocks") - 1)).alias("q"),
     )
     question_side = questions.join(grid, "paper_id").select(
         # fresh names: the same table may ask and answer
-        F.col("paper_id").alias("paper_id"), "query_id", F.col("vector").alias("vector"),
+        *[F.col(c).alias(c) for c in ("lane", "paper_id", "query_id", "vector")],
         F.explode(F.sequence(F.lit(0), F.col("chunk_blocks") - 1)).alias("c"),
         to_block("query_id", "question_blocks").alias("q"),
     )
-    keys = ("paper_id", "c", "q")
+    keys = ("lane", "c", "q")
     return chunk_side.groupBy(*keys).cogroup(question_side.groupBy(*keys))
 
 
@@ -181,22 +189,28 @@ def _first_per_page(scores: np.ndarray, chunks: pd.DataFrame) -> np.ndarray:
 def _block_winners(choose: Callable[[np.ndarray, pd.DataFrame], np.ndarray]):
     def rank(chunks: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
         kept = ["chunk_id", *(["page"] if "page" in chunks else [])]
-        if chunks.empty or questions.empty:
-            return pd.DataFrame(columns=["query_id", "paper_id", *kept, "score"])
+        found = [pd.DataFrame(columns=["query_id", "paper_id", *kept, "score"])]
         chunks = chunks.sort_values("chunk_id", kind="stable", ignore_index=True)
-        left = np.stack(questions["vector"].to_numpy()).astype(np.float64)
-        right = np.stack(chunks["vector"].to_numpy()).astype(np.float64)
-        scores = left @ right.T
-        best = choose(scores, chunks)
-        rows, picked = np.repeat(np.arange(len(left)), best.shape[1]), best.ravel()
-        return pd.DataFrame(
-            {
-                "query_id": questions["query_id"].to_numpy()[rows],
-                "paper_id": chunks["paper_id"].iloc[0],
-                **{name: chunks[name].to_numpy()[picked] for name in kept},
-                "score": scores[rows, picked],
-            }
-        )
+        asked = dict(list(questions.groupby("paper_id", sort=False)))
+        for paper, own in chunks.groupby("paper_id", sort=False):
+            if paper not in asked:
+                continue
+            left = np.stack(asked[paper]["vector"].to_numpy()).astype(np.float64)
+            right = np.stack(own["vector"].to_numpy()).astype(np.float64)
+            scores = left @ right.T
+            best = choose(scores, own)
+            rows, picked = np.repeat(np.arange(len(left)), best.shape[1]), best.ravel()
+            found.append(
+                pd.DataFrame(
+                    {
+                        "query_id": asked[paper]["query_id"].to_numpy()[rows],
+                        "paper_id": paper,
+                        **{name: own[name].to_numpy()[picked] for name in kept},
+                        "score": scores[rows, picked],
+                    }
+                )
+            )
+        return pd.concat(found[1:] or found, ignore_index=True)
 
     return rank
 
@@ -300,7 +314,8 @@ def rerank(
     candidates: DataFrame, scorer: Scorer = lexical_scorer, k: int | None = CANDIDATE_K
 ) -> DataFrame:
     """Order candidates (with ``question`` and ``text``) by pair score, ids break ties."""
-    scored = candidates.select(
+    # few bytes but heavy text work: keep one partitioning by question from here on
+    scored = spread(candidates, *ASK).select(
         *[c for c in candidates.columns if c not in ("rank", "score")],
         F.col("rank").alias("pre_rerank_rank"),
         F.col("score").alias("retrieval_score"),

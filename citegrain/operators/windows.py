@@ -24,6 +24,17 @@ def by_score(score: str = "score", tie: str = "chunk_id") -> list[Column]:
     return [F.round(F.col(score), 9).desc(), F.col(tie).asc()]
 
 
+def settled(df: DataFrame, *keys: str) -> DataFrame:
+    """Compute every column once before anything below filters on it.
+
+    A filter on a computed column is otherwise pushed beneath its projection and the
+    expression, with all it refers to, is evaluated again; filters do not pass a generator.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    packed = F.explode(F.array(F.struct(*rest))).alias("_row")
+    return df.select(*keys, packed).select(*keys, "_row.*").select(*df.columns)
+
+
 def gathered(order: str, *fields: str) -> Column:
     """The rows of a bounded group as an array of structs in ascending ``order``.
 

@@ -46,10 +46,7 @@ def find_all(text: Column, pattern: str) -> Column:
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | text.contains(needle)
-    return hit
+    return text.rlike("|".join(rf"\Q{needle}\E" for needle in needles))
 
 
 def tokens(text: Column) -> Column:
@@ -157,11 +154,12 @@ def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
-def occurrences(text: Column, pattern: str, before: int, after: int) -> Column:
+def occurrences(text: Column, pattern: str | Column, before: int, after: int) -> Column:
     """Every match of ``pattern`` with the text around it, as an array of
     (before, match, after) structs."""
-    found = find_all(text, pattern)
-    gaps = F.split(text, pattern, -1)
+    wanted = pattern if isinstance(pattern, Column) else F.lit(pattern)
+    found = F.regexp_extract_all(text, wanted, F.lit(0))
+    gaps = F.split(text, wanted, -1)
 
     def windows(matches: Column, between: Column) -> Column:
         steps = F.zip_with(

@@ -277,3 +277,24 @@ def select_threshold(candidates: DataFrame, minimum_retention: float = 0.95) ->
     order = ("unsupported_group_refusal_recall", "threshold", "answerable_group_retention")
     best = candidates.where(eligible).agg(F.max(F.struct(*order)).alias("best"))
     return best.where(F.col("best").isNotNull()).select("best.*")
+
+
+def fact_stated(text: Column, alias: Column) -> Column:
+    """Whether a text contains a fact's alias; a bare number must stand alone."""
+
+    def plain(value: Column) -> Column:
+        joined = F.regexp_replace(value, r"(?U)(?<=\d)\s*\.\s*(?=\d)", ".")
+        return F.regexp_replace(F.translate(F.lower(joined), "–−", "--"), r"(?U)\s+", " ")
+
+    said, wanted = plain(text), plain(alias)
+    alone = F.concat(F.lit(r"(?U)(?<![\d.])\Q"), wanted, F.lit(r"\E(?![\d.])"))
+    return F.when(wanted.rlike(r"(?U)^[\d,.]+$"), F.rlike(said, alone)).otherwise(
+        said.contains(wanted)
+    )
+
+
+def facts_stated(text: Column, facts: Column) -> Column:
+    """How many of the facts (each with ``any_of`` aliases) a text states."""
+    return F.size(
+        F.filter(facts, lambda f: F.exists(f["any_of"], lambda a: fact_stated(text, a)))
+    )

@@ -141,3 +141,8 @@ def test_constraints(spark):
     assert {(r.case_id, r.change) for r in validate.changed_rows(cases, new, "case_id").collect()} == {
         ("1", "changed"), ("3", "removed"),
     }
+
+
+def test_fact_aliases(each):
+    cases = [("Up to 3 . 5 points", "3.5"), ("Up to 13.5", "3.5"), ("A trade–off", "trade-off"), ("12", "1")]
+    assert each(metrics.fact_stated, cases) == [True, False, True, False]

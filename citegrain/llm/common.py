@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +44,7 @@ def signed(values: np.ndarray) -> pa.Array:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalising mix of 64-bit hashes."""
-    h = h.astype(np.uint64, copy=True)
+    h = np.array(h, np.uint64)
     h ^= h >> np.uint64(30)
     h *= MIX_A
     h ^= h >> np.uint64(27)
@@ -51,6 +53,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _from_one(size: int, factor: int) -> np.ndarray:
+    found = np.full(size + 1, factor, np.uint64)
+    found[0] = 1
+    return found
+
+
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown on demand."""
 
@@ -60,9 +68,8 @@ class _Powers:
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
             size = max(n + 1, 1 << 16)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, BASE, np.uint64)])
-            inverse = np.uint64(pow(BASE, -1, 1 << 64))
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, inverse, np.uint64)])
+            self.up = np.cumprod(_from_one(size, BASE))
+            self.down = np.cumprod(_from_one(size, pow(BASE, -1, 1 << 64)))
         return self.up, self.down
 
 
@@ -91,7 +98,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         word = np.concatenate(([False], ~SPACE[part], [False]))
         s, e = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
         up, down = _POWERS.upto(len(part))
-        sums = np.concatenate(([0], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
         starts.append(s + at)
         ends.append(e + at)
         hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
@@ -119,12 +127,18 @@ def grams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage through the shared checkpoint folder."""
+    """The rows, cut from their lineage through the shared checkpoint folder.
+
+    The folder is the one the session names in spark.checkpoint.dir. Only a session on one machine
+    that names none gets a folder of its own; a cluster must name one.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="citegrain-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.llm import bpe, token_counts
+from citegrain.llm import bpe, quality_rules, token_counts, weak_labels
 from citegrain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,19 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    judged = weak_labels.quality_classifier(
+        table(spark, folder, "documents").select("doc_id", "text")
+    )
+    return judged.select("doc_id", "score", "kept")
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)
@@ -25,6 +38,8 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op8_token_counts": op8_token_counts,
 }
 ORACLES: dict[str, str] = {}

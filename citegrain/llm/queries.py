@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.llm import bpe, quality_rules, token_counts, weak_labels
+from citegrain.llm import bpe, quality_rules, secret_scan, token_counts, url_filter, weak_labels
 from citegrain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,14 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "score", "kept")
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, folder, "pages"))
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(table(spark, folder, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)
@@ -40,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_url_filter": op6_url_filter,
+    "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": url_filter.oracle_sql()}

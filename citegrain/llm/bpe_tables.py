@@ -7,6 +7,7 @@ shipped to the tasks inside a broadcast.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 import regex
@@ -53,11 +54,11 @@ class BpeTables:
             self._splitters = (
                 regex.compile(PRE_SPLIT),
                 regex.compile(exact.replace("NEW", newer)),
-                regex.compile(f"[{newer}]"),
+                re.compile(f"[{newer}]"),
                 regex.compile(f"({special})") if special else None,
             )
         split, exact, newer, marks = self._splitters
-        if not text.isascii() and newer.search(text):
+        if not _latin(text) and newer.search(text):
             split = exact
         if marks is None or not any(mark in text for mark in self.special):
             return split.findall(text)
@@ -70,6 +71,15 @@ class BpeTables:
         return found
 
 
+def _latin(text: str) -> bool:
+    """No character beyond Latin-1, so none of the newer ones."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character of each byte: visible Latin-1 stands for itself, the rest counts up from 256."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}

@@ -74,6 +74,8 @@ class _Powers:
 
 
 _POWERS = _Powers()
+# Maps bytes for word comparison: A-Z to lower case, ASCII signs to blanks, the rest to itself.
+PLAIN = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.llm import bpe, quality_rules, secret_scan, token_counts, url_filter, weak_labels
+from citegrain.llm import (
+    bpe, decontaminate, license_scan, quality_rules, secret_scan, token_counts, url_filter, weak_labels,
+)
 from citegrain.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +32,16 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "score", "kept")
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    ).drop("doc_key")
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"))
 
@@ -48,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_license_scan": op4_license_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,

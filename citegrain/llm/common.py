@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 20
+PART = 1 << 23
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,16 +24,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def arrow_pass(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """One Arrow pass over the rows, batch by batch."""
+    """One Arrow pass over the rows, in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for part in parts_of(batch):
+                yield step(part)
 
     return df.mapInArrow(run, schema)
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about PART bytes, so that work on it needs bounded memory."""
+    rows = max(1, batch.num_rows * PART // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of an Arrow column; a null counts as an empty text."""
     return [t or "" for t in column.to_pylist()]
@@ -73,7 +81,7 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = _Powers()
+POWERS = _Powers()
 # Maps bytes for word comparison: A-Z to lower case, ASCII signs to blanks, the rest to itself.
 PLAIN = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 SPACE = np.zeros(256, bool)
@@ -99,7 +107,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = raw[at:end]
         word = np.concatenate(([False], ~SPACE[part], [False]))
         s, e = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(~word[1:] & word[:-1])
-        up, down = _POWERS.upto(len(part))
+        up, down = POWERS.upto(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
         starts.append(s + at)
@@ -128,19 +136,27 @@ def grams(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(total[at]), at
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage through the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir.
 
-    The folder is the one the session names in spark.checkpoint.dir. Only a session on one machine
-    that names none gets a folder of its own; a cluster must name one.
+    Only a session on one machine that names none gets a folder of its own; a cluster must name one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder is None and not context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context._jsc.sc().getCheckpointDir().get()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="citegrain-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, cut from their lineage through the shared checkpoint folder."""
+    folder, context = checkpoint_folder(df.sparkSession), df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="citegrain-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from citegrain.llm import (
-    bpe, decontaminate, license_scan, quality_rules, secret_scan, token_counts, url_filter, weak_labels,
+    bpe, decontaminate, license_scan, line_dedup, ngram_jaccard, quality_rules, secret_scan, token_counts, url_filter, weak_labels,
 )
 from citegrain.llm.common import table
 
@@ -56,6 +57,15 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -65,5 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_secret_scan": op7_secret_scan,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": url_filter.oracle_sql()}

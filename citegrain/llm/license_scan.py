@@ -106,10 +106,10 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
     """Best local alignment within diagonals low..high: score, matched words, first and last word.
 
     A match scores 1, a difference, an extra or a missing word costs 1. Of equal scores the one
-    that ends first in the text counts.
+    that ends nearest to the middle of the band counts.
     """
     none = (0, 0, -1, -1)
-    best, above = none, {}
+    best, off, above = none, 0.0, {}
     for i, word in enumerate(template):
         row: dict[int, tuple[int, int, int, int]] = {}
         for j in range(max(0, i + low), min(len(words), i + high + 1)):
@@ -124,8 +124,9 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
                 if cell[0] <= 0:
                     continue
             row[j] = cell
-            if cell[0] > best[0] or cell[0] == best[0] and cell[3] < best[3]:
-                best = cell
+            away = abs(j - i - (low + high) / 2)
+            if cell[0] > best[0] or cell[0] == best[0] and away < off:
+                best, off = cell, away
         above = row
     return best
 
@@ -139,19 +140,12 @@ def _matches(
 ) -> list[tuple[int, int, int, int]]:
     """(first word, last word, template, matched) of each candidate that covers enough.
 
-    `low` and `high` bound the words of the text; hits of one template whose neighbours differ by
-    at most BAND diagonals are one candidate.
+    `low` and `high` bound the words of the text.
     """
     found = []
     for n, group in groupby(hits, key=lambda h: h[0]):
         template = index.words[n]
-        runs: list[list[int]] = []
-        for _, diagonal, _ in group:
-            if runs and diagonal - runs[-1][1] <= BAND:
-                runs[-1][1] = diagonal
-            else:
-                runs.append([diagonal, diagonal])
-        for first, last in runs:
+        for first, last in _runs([h[1:] for h in group], len(template)):
             start, end = max(low, first - BAND), min(high, last + BAND + len(template))
             part = words[start:end].tolist()
             _, matched, a, b = align(template, part, first - BAND - start, last + BAND - start)
@@ -160,6 +154,25 @@ def _matches(
     return sorted(set(found))
 
 
+def _runs(hits: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Lowest and highest diagonal of each candidate copy of a template.
+
+    In the order of the text, a hit continues a run if it is at most BAND diagonals away and later
+    in the template; else it begins a run. Runs that the text has left behind are closed.
+    """
+    closed, running = [], []
+    for diagonal, place in sorted(hits, key=lambda h: (h[1], h[0])):
+        closed += [r for r in running if place - r[4] > size + BAND]
+        running = [r for r in running if place - r[4] <= size + BAND]
+        for run in running:
+            if abs(diagonal - run[2]) <= BAND and place - diagonal > run[3]:
+                run[:] = [min(run[0], diagonal), max(run[1], diagonal), diagonal, place - diagonal, place]
+                break
+        else:
+            running.append([diagonal, diagonal, diagonal, place - diagonal, place])
+    return sorted({(r[0], r[1]) for r in closed + running})
+
+
 def scan(
     df: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8
 ) -> DataFrame:

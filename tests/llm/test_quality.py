@@ -1,6 +1,7 @@
 """Quality rules and the weak-label classifier."""
 
 import os
+import random
 from collections import Counter
 
 import numpy as np
@@ -87,8 +88,10 @@ def test_held_out_accuracy(spark):
 
 
 def rows(spark):
-    good = "The cat of the house was in the garden and it is on the way to a house with a dog. " * 2
-    made = [(k, good + f"word{k} ending{k * 7} here.") for k in range(60)]
+    chance = random.Random(5)
+    names = [a + b for a in ("gar", "hou", "riv", "mou", "cit") for b in ("den", "se", "er", "tain", "y", "let", "ing")]
+    small = ("the", "of", "and", "in", "a", "is", "on", "with")
+    made = [(k, " ".join(chance.choice(names if j % 2 else small) for j in range(90))) for k in range(60)]
     made += [(100 + k, " ".join(f"w{k}{j}***" for j in range(60))) for k in range(20)]
     made += [(500, None), (None, "tiny"), (501, ""), (502, " \n\t "), (3, made[3][1]), (503, "é" * 100_000)]
     return spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'s' as kept", "1 as score")

@@ -22,7 +22,11 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         f"local[{cpus}]", "bench",
-        **{"spark.driver.memory": "16g", "spark.sql.shuffle.partitions": cpus},
+        **{
+            "spark.driver.memory": "16g",
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.citegrain.spreadScans": "true",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1).count()

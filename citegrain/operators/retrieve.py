@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from citegrain.functions.text import tokens
 from citegrain.operators.index import B, K1, TermIndex
 from citegrain.operators.windows import ASK, by_score, top_k
-from citegrain.session import broadcast_if_small, checkpoint, spread
+from citegrain.session import checkpoint, spread
 
 SOURCE_K, CANDIDATE_K, RRF_K = 20, 20, 60
 
@@ -38,7 +38,6 @@ def bm25_scores(index: TermIndex, asks: DataFrame) -> DataFrame:
         .join(index.papers.select("paper_id", "mean_length"), "paper_id")
         .select(*ASK, "term", (F.col("qtf") * F.col("idf")).alias("weight"), "mean_length")
     )
-    weights = F.broadcast(weights) if _fits(wanted) else weights
     norm = K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     return (
@@ -48,10 +47,6 @@ def bm25_scores(index: TermIndex, asks: DataFrame) -> DataFrame:
     )
 
 
-def _fits(wanted: DataFrame, max_rows: int = 200_000) -> bool:
-    return wanted.limit(max_rows + 1).count() <= max_rows
-
-
 def bm25_top_k(
     index: TermIndex, chunks: DataFrame, asks: DataFrame, k: int = SOURCE_K
 ) -> DataFrame:
@@ -72,16 +67,30 @@ def _complete(
     matched: DataFrame, short: DataFrame, index: TermIndex, chunks: DataFrame, asks: DataFrame,
     k: int,
 ) -> DataFrame:
-    short = broadcast_if_small(checkpoint(short.select(*ASK)))
-    touched = (
+    """Fill up with chunks of score 0 in the order of their ids.
+
+    A question that shares terms with fewer than ``k`` chunks needs no more than the first
+    ``2 k`` ids of its paper. Only papers where a short question touches more, which takes
+    terms of no weight, are listed in full.
+    """
+    short = checkpoint(short.select(*ASK))
+    touched = checkpoint(
         question_terms(asks.join(short, list(ASK), "left_semi"))
         .join(index.postings.select("paper_id", "chunk_id", "term"), ["paper_id", "term"])
         .select(*ASK, "chunk_id")
         .distinct()
     )
+    wide = (
+        touched.groupBy(*ASK).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        .select("paper_id").distinct()
+    )
+    ids = chunks.select("paper_id", "chunk_id")
+    head = top_k(ids, ["paper_id"], [F.col("chunk_id")], 2 * k).select("paper_id", "chunk_id")
+    listed = head.join(wide, "paper_id", "left_anti").unionByName(
+        ids.join(wide, "paper_id", "left_semi")
+    )
     untouched = (
-        chunks.select("paper_id", "chunk_id")
-        .join(short, "paper_id")
+        listed.join(short, "paper_id")
         .join(touched, [*ASK, "chunk_id"], "left_anti")
         .withColumn("score", F.lit(0.0))
     )

@@ -8,12 +8,12 @@ benchmark      -> questions asked of all documents at once (paper ``collection``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrain.functions.text import plain_tokens
 from citegrain.operators.ingest import Ingested, ingest
-from citegrain.session import broadcast_if_small, widen
+from citegrain.session import spread_scan
 
 COLLECTION = "collection"
 
@@ -23,8 +23,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A text table spread over the cores when its files give too few splits."""
-    return widen(table(spark, folder, name).select(*columns), columns[0])
+    """A text table, spread over the cores where the session asks for it."""
+    return spread_scan(table(spark, folder, name).select(*columns), columns[0])
 
 
 def _raw(df: DataFrame) -> DataFrame:
@@ -81,12 +81,10 @@ def collection_asks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_asks(spark: SparkSession, folder: str) -> DataFrame:
-    """User turns whose conversation has at least one other turn to search."""
+    """User turns; those of a conversation without other turns find nothing and are refused."""
     turns = table(spark, folder, "conversations")
-    answered = turns.where(F.col("role") != "user").select("conv_id").distinct()
     return (
         turns.where(F.col("role") == "user")
-        .join(answered, "conv_id", "left_semi")
         .select(
             F.format_string("%d:%d", "conv_id", "turn").alias("query_id"),
             F.concat(F.lit("conv-"), F.col("conv_id")).alias("paper_id"),
@@ -99,8 +97,9 @@ def passage_gold(spark: SparkSession, folder: str) -> DataFrame:
     """(query_id, language, page) for each document that repeats a benchmark passage.
 
     A passage and a document meet on a hash of up to eight inner tokens, which any verbatim
-    copy contains whole, and are then compared in full. Passages too short to have an
-    inner token are compared directly.
+    copy contains whole, and are then compared in full. A passage too short to have an inner
+    token is one run of letters and digits at most; it meets the runs that contain it by the
+    hash of the pieces of its length, so no pair is made by a loop over both tables.
     """
     items = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("passage")
@@ -111,31 +110,44 @@ def passage_gold(spark: SparkSession, folder: str) -> DataFrame:
     )
     docs = texts(spark, folder, "documents", "doc_id", "lang", "text")
     tokenized = docs.select("doc_id", plain_tokens(F.col("text")).alias("words"))
-    sizes = keyed.where("n > 0").select("n").distinct()
+    long = keyed.where("n > 0")
     runs = (
-        tokenized.join(F.broadcast(sizes), F.size("words") >= F.col("n") + 2)
-        .select(
-            "doc_id", "n",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(2), F.size("words") - F.col("n")),
-                    lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.col("n")), " ")),
-                )
-            ).alias("key"),
-        )
+        tokenized.crossJoin(F.broadcast(_sizes(long, "n")))
+        .withColumn("n", F.explode("sizes")).where(F.size("words") >= F.col("n") + 2)
+        .select("doc_id", "n", F.explode(_pieces(F.col("words"), F.col("n"))).alias("key"))
+    )
+    pairs = runs.join(long.select("query_id", "n", "key"), ["n", "key"]).select("query_id", "doc_id").distinct()
+    short = keyed.where("n <= 0").withColumn("n", F.length("passage")).withColumn("key", F.xxhash64("passage"))
+    letters = F.transform(
+        F.sequence(F.lit(1), F.length("text") - F.col("n") + 1),
+        lambda i: F.xxhash64(F.substring(F.col("text"), i, F.col("n"))),
+    )
+    spots = (
+        docs.crossJoin(F.broadcast(_sizes(short, "n"))).withColumn("n", F.explode("sizes"))
+        .where((F.length("text") >= F.col("n")) & (F.col("n") > 0))
+        .select("doc_id", "n", F.explode(F.array_distinct(letters)).alias("key"))
+    )
+    pairs = pairs.union(
+        spots.join(short.select("query_id", "n", "key"), ["n", "key"]).select("query_id", "doc_id").distinct()
     )
-    pairs = runs.join(broadcast_if_small(keyed.where("n > 0")), ["n", "key"]).select(
-        "query_id", "passage", "doc_id"
-    ).distinct()
-    long = pairs.join(docs, "doc_id").where(F.col("text").contains(F.col("passage")))
-    short = broadcast_if_small(keyed.where("n <= 0"))
-    direct = docs.join(short, F.col("text").contains(F.col("passage")))
-    found = long.select("query_id", "lang", "doc_id").unionByName(
-        direct.select("query_id", "lang", "doc_id")
+    found = (
+        pairs.join(docs, "doc_id").join(items, "query_id")
+        .where(F.col("text").contains(F.col("passage"))).select("query_id", "lang", "doc_id").distinct()
     )
-    first = Window.partitionBy("query_id")
-    return found.distinct().select(
-        "query_id",
-        F.min("lang").over(first).alias("language"),
-        (F.col("doc_id") + 1).cast("int").alias("page"),
+    first = found.groupBy("query_id").agg(F.min("lang").alias("language"))
+    return found.join(first, "query_id").select(
+        "query_id", "language", (F.col("doc_id") + 1).cast("int").alias("page")
+    )
+
+
+def _sizes(keyed: DataFrame, column: str) -> DataFrame:
+    """One row with the few distinct sizes of the passages."""
+    return keyed.agg(F.collect_set(column).alias("sizes"))
+
+
+def _pieces(words: Column, n: Column) -> Column:
+    """Hash of each run of ``n`` inner words."""
+    return F.transform(
+        F.sequence(F.lit(2), F.size(words) - n),
+        lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")),
     )

@@ -77,8 +77,7 @@ CONVERSATIONS = (
 BENCHMARK = "SELECT item_id AS query_id, 'collection' AS paper_id, text AS question FROM benchmark"
 USER_TURNS = (
     "SELECT conv_id || ':' || turn AS query_id, 'conv-' || conv_id AS paper_id, text AS question "
-    "FROM conversations u WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations o "
-    "WHERE o.conv_id = u.conv_id AND o.role <> 'user')"
+    "FROM conversations u WHERE role = 'user'"
 )
 COLLECTION = (
     "WITH RECURSIVE " + chunk_ctes(DOCUMENTS, "d_")

@@ -863,23 +863,23 @@ def _calibration(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- jobs and constraints --------------------------------------------------------------
 
-_STATUS = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed'
+_STATUS = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed'
   WHEN 'error' THEN 'failed' END"""
 
 
 def _job_events(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_type")
     status = (
-        F.when(kind == "view", "queued").when(kind == "click", "running")
+        F.when(kind.isin("view", "signup"), "queued").when(kind == "click", "running")
         .when(kind == "purchase", "completed").when(kind == "error", "failed")
     )
     return table(spark, folder, "events").select(
         F.col("user_id").alias("paper_id"), status.alias("status"), F.col("ts").alias("at"), "event_id"
-    ).where("status IS NOT NULL")
+    )
 
 
 _LATEST = f"""SELECT user_id AS paper_id, arg_max(s, (ts, event_id)) AS status FROM (SELECT *, {_STATUS} AS s FROM events)
-WHERE s IS NOT NULL GROUP BY user_id"""
+GROUP BY user_id"""
 
 
 @query(_LATEST)

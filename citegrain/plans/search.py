@@ -12,7 +12,7 @@ from citegrain.operators.index import (
     Encoder, TermIndex, build_index, encode_passages, encode_questions,
 )
 from citegrain.operators.windows import ASK
-from citegrain.session import broadcast_if_small, checkpoint
+from citegrain.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -77,4 +77,4 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
         "paper_id", "chunk_id", "page", "source_page_id", "section", "section_index",
         "chunk_index", "text",
     )
-    return broadcast_if_small(ranked).join(detail, ["paper_id", "chunk_id"])
+    return ranked.join(detail, ["paper_id", "chunk_id"])

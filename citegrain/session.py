@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when a bounded count proves it is at most this many rows.
-BROADCAST_ROWS = 200_000
-
-
 def build_session(master: str = "local[8]", app: str = "citegrain", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
     )
@@ -29,36 +25,28 @@ def build_session(master: str = "local[8]", app: str = "citegrain", **conf: str)
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; a private one is created only where
-    the session names none, as on a single machine.
+    The folder comes from ``spark.checkpoint.dir``. Only a session on one machine that names
+    none gets a private one: on a cluster executors would write to disks of their own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="citegrain-ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="citegrain-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when at most ``max_rows`` rows exist; otherwise leave the join to
-    Catalyst, which shuffles. The probe stops reading once the bound is passed."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` so that later groupings by a superset need no shuffle.
-
-    The partition count is the session's own, fixed so that small bytes but heavy text
-    work is not merged into a few tasks.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *[F.col(key) for key in keys])
+    """Hash-partition by ``keys`` so that later groupings by a superset need no shuffle; the
+    number of partitions is left to adaptive execution."""
+    return df.repartition(*[F.col(key) for key in keys])
 
 
-def widen(scan: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores; leave others alone."""
-    if scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism:
-        return spread(scan, *keys)
-    return scan
+def spread_scan(scan: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan when the session asks for it by ``spark.citegrain.spreadScans``: for
+    tables of a few unsplittable files, as on one machine. Off unless set."""
+    asked = scan.sparkSession.conf.get("spark.citegrain.spreadScans", "false") == "true"
+    return spread(scan, *keys) if asked else scan

@@ -139,21 +139,17 @@ def encode_questions(asks: DataFrame, encoder: Encoder | None = None) -> DataFra
 def fingerprint(chunks: DataFrame) -> DataFrame:
     """Content hash per paper that any order of rows reproduces.
 
-    Rows are hashed, grouped under 4,096 prefixes and hashed again, so that no task holds
-    more than a prefix's share of a paper's row hashes.
+    The eight words of each row's SHA-256 are added up, so partial sums merge and a paper of any
+    size is a few numbers; the hash of the sums and the row count is the fingerprint.
     """
     row = F.sha2(F.concat(F.col("chunk_id"), F.lit("\0"), F.col("text"), F.lit("\0")), 256)
     hashed = chunks.select("paper_id", row.alias("h"))
-    partial = hashed.groupBy("paper_id", F.substring("h", 1, 3).alias("prefix")).agg(
-        F.sha2(F.concat_ws("", F.sort_array(F.collect_list("h"))), 256).alias("g"),
-        F.count("*").alias("n"),
-    )
-    return partial.groupBy("paper_id").agg(
-        F.sha2(F.concat_ws("", F.transform(
-            F.sort_array(F.collect_list(F.struct("prefix", "g"))), lambda s: s["g"]
-        )), 256).alias("fingerprint"),
-        F.sum("n").alias("chunks"),
+    words = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(10,0)") for k in range(8)]
+    summed = hashed.groupBy("paper_id").agg(
+        *[F.sum(w).cast("decimal(38,0)").alias(f"w{k}") for k, w in enumerate(words)], F.count("*").alias("chunks")
     )
+    parts = [F.col(f"w{k}").cast("string") for k in range(8)] + [F.col("chunks").cast("string")]
+    return summed.select("paper_id", F.sha2(F.concat_ws(":", *parts), 256).alias("fingerprint"), "chunks")
 
 
 def missing_vectors(

@@ -85,10 +85,16 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Lines that each page gets in turn: headings of every kind, and near misses.
+_ADDED_LINES = (
+    "1 Introduction", "2.1. Related Work", "II. METHODS AND DATA", "Abstract: we show", "Appendix B", "References.",
+    "3.RESULTS AND OUTLOOK", "How Many Words", "4 results today", "5. Data, Models", "6 University of Sand", "12",
+    "VII METHODS", "Conclusion!", "7 Jan Notes of Old",
+)
 _HEADING_LINES = (
     "SELECT page_id, trim(regexp_replace(line, '\\s+', ' ', 'g'), ' :' || chr(9)) AS l FROM (SELECT "
-    "page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))) AS line "
-    "FROM pages)"
+    "page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g') || chr(10) "
+    f"|| {list(_ADDED_LINES)}[page_id % {len(_ADDED_LINES)} + 1], chr(10))) AS line FROM pages)"
 )
 _KNOWN = ", ".join(f"'{h}'" for h in headings.KNOWN_HEADINGS)
 
@@ -111,11 +117,13 @@ FROM (SELECT *, CASE WHEN regexp_matches(l, '^\\d{{1,2}}(?:\\.\\d{{1,2}})*[.)]?\
       FROM ({_HEADING_LINES})) GROUP BY page_id"""
 )
 def heading_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Headings among the lines that tags separate in the raw web pages."""
+    """Headings among the lines that tags separate in the raw web pages, and one added line."""
     raw = texts(spark, folder, "pages", "page_id", "html")
-    lines = raw.select(
-        "page_id", F.explode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1)).alias("line")
+    added = F.element_at(
+        F.array(*map(F.lit, _ADDED_LINES)), (F.col("page_id") % len(_ADDED_LINES) + 1).cast("int")
     )
+    written = F.concat_ws("\n", F.regexp_replace("html", "<[^>]*>", "\n"), added)
+    lines = raw.select("page_id", F.explode(F.split(written, "\n", -1)).alias("line"))
     return lines.groupBy("page_id").agg(
         F.count("*").alias("lines"), F.count(headings.heading(F.col("line"))).alias("headings")
     )
@@ -132,29 +140,50 @@ def fact_tokens(spark: SparkSession, folder: str) -> DataFrame:
     ).where("facts <> ''")
 
 
+# Questions derived from the benchmark passages: two forms of every answer shape, two of none.
+_ASKED = (
+    "Why does it hold that ", "왜 그런가: ", "Compare this with others: ", "두 방법의 차이: ", "What is meant by defining ",
+    "다음의 정의: ", "Which three experiments validate ", "어떻게 평가하는가: ", "Under what conditions and with what caveats ",
+    "예외와 한계: ", "What are the parts of ", "두 가지 요소를 나열: ", "How many of these: ", "정확도는 얼마: ", "Tell me ", "말해: ",
+)
+_EDGE, _WORD = r"(^|[^\pL\pN_])(", r")($|[^\pL\pN_])"
+_KINDS = (
+    ("causal", "why|reasons?|causes?|causal|explain[\\pL\\pN_]* why|shortcuts?", "왜|이유|원인|인과|지름길|편법"),
+    ("comparison", "compar[\\pL\\pN_]*|versus|vs|differ[\\pL\\pN_]*|trade[- ]?offs?", "비교|차이|달라|다르|다른"),
+    ("definition", "defin[\\pL\\pN_]*|meaning|means?|mean by|refer[\\pL\\pN_]* to",
+     r"(^|[^가-힣])정의|의\s*정의|의미|(^|[^가-힣])뜻"),
+    ("evaluation", r"evaluat[\pL\pN_]*|validat[\pL\pN_]*|(what|which)\s+([\pL\pN_]+\s+){0,2}experiments?",
+     r"평가|검증|어떤\s*실험|무슨\s*실험|실험\s*(방법|방식|설계|절차)"),
+    ("limitations", "limitation[\\pL\\pN_]*|restrict[\\pL\\pN_]*|caveat[\\pL\\pN_]*|failure[\\pL\\pN_]*|exceptions?"
+     "|except|when does|under what conditions", r"한계|제약|주의|실패|예외|적용\s*조건"),
+    ("list", r"list|enumerate|enumeration|what are|(which|what)(\s+(all|the|one|two|three|four|five|six|seven|eight|nine"
+     r"|ten|\pN+))?\s+(datasets|benchmarks|methods|components|inputs|steps|features|models|conditions|factors"
+     r"|augmentations|transformations)|(which|what)\s+(default|standard)\s+(augmentations|transformations)",
+     r"목록|나열|열거|모두|각각|어떤\s*(데이터셋|벤치마크|요소|입력|단계|요인|증강|변환)|무엇들|([한두세네다섯여섯일곱여덟아홉열]+|\pN+)\s*가지"),
+    ("numeric", "how much|how many|percentage|percent|numerical|number of|speedup|accuracy|throughput",
+     "얼마|몇|수치|정확도|처리량|속도|학습률|%"),
+)
+
+
 @query(
     "SELECT item_id, array_to_string(list_sort(list_filter(["
     + ", ".join(
-        f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{name}' END"
-        for name, p in (
-            ("causal", r"(^|[^\pL\pN_])(why|reasons?|causes?|causal|explain[\pL\pN_]* why|shortcuts?)($|[^\pL\pN_])"),
-            ("comparison", r"(^|[^\pL\pN_])(compar[\pL\pN_]*|versus|vs|differ[\pL\pN_]*|trade[- ]?offs?)($|[^\pL\pN_])"),
-            ("definition", r"(^|[^\pL\pN_])(defin[\pL\pN_]*|meaning|means?|mean by|refer[\pL\pN_]* to)($|[^\pL\pN_])"),
-            ("evaluation", r"(^|[^\pL\pN_])(evaluat[\pL\pN_]*|validat[\pL\pN_]*|(what|which)\s+([\pL\pN_]+\s+){0,2}experiments?)($|[^\pL\pN_])"),
-            ("limitations", r"(^|[^\pL\pN_])(limitation[\pL\pN_]*|restrict[\pL\pN_]*|caveat[\pL\pN_]*|failure[\pL\pN_]*|exceptions?|except|when does|under what conditions)($|[^\pL\pN_])"),
-            ("list", r"(^|[^\pL\pN_])(list|enumerate|enumeration|what are)($|[^\pL\pN_])"),
-            ("numeric", r"(^|[^\pL\pN_])(how much|how many|percentage|percent|numerical|number of|speedup|accuracy|throughput)($|[^\pL\pN_])|%"),
-        )
+        f"CASE WHEN regexp_matches(lower(text), '{_EDGE}{english}{_WORD}|{korean}') THEN '{name}' END"
+        for name, english, korean in _KINDS
     )
     + "], lambda x: x IS NOT NULL)), '|') AS kinds FROM (SELECT item_id, text FROM benchmark "
-    "UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations)"
+    "UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations "
+    f"UNION ALL SELECT 0 - 1 - item_id, {list(_ASKED)}[item_id % {len(_ASKED)} + 1] || text FROM benchmark)"
 )
 def question_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Answer shapes of the benchmark passages and of every conversation turn."""
+    """Answer shapes of the benchmark passages, of questions about them and of all turns."""
     turns = texts(spark, folder, "conversations", "conv_id", "turn", "text").select(
         (F.col("conv_id") * 1000 + F.col("turn") + 1000000).alias("item_id"), "text"
     )
-    asked = table(spark, folder, "benchmark").select("item_id", "text").unionByName(turns)
+    passages = table(spark, folder, "benchmark").select("item_id", "text")
+    lead = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("item_id") % len(_ASKED) + 1).cast("int"))
+    derived = passages.select((-1 - F.col("item_id")).alias("item_id"), F.concat(lead, "text").alias("text"))
+    asked = passages.unionByName(turns).unionByName(derived)
     return asked.select("item_id", F.array_join(questions.kinds(F.col("text")), "|").alias("kinds"))
 
 
@@ -251,11 +280,10 @@ def section_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT source AS paper_id, sha256(h) AS h, substr(sha256(h), 1, 3) AS prefix FROM (
-  SELECT source, doc_id::VARCHAR || chr(0) || text || chr(0) AS h FROM documents)),
-g AS (SELECT paper_id, prefix, sha256(string_agg(h, '' ORDER BY h)) AS g, count(*) AS n FROM h GROUP BY ALL)
-SELECT paper_id, sha256(string_agg(g, '' ORDER BY prefix)) AS fingerprint, sum(n)::BIGINT AS chunks
-FROM g GROUP BY paper_id"""
+    "WITH h AS (SELECT source AS paper_id, sha256(doc_id::VARCHAR || chr(0) || text || chr(0)) AS h FROM documents) "
+    "SELECT paper_id, sha256(concat_ws(':', "
+    + ", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::BIGINT)::VARCHAR" for k in range(8))
+    + ", count(*)::VARCHAR)) AS fingerprint, count(*)::BIGINT AS chunks FROM h GROUP BY paper_id"
 )
 def corpus_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -154,11 +155,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows, cut from their lineage through the shared checkpoint folder."""
-    folder, context = checkpoint_folder(df.sparkSession), df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """The rows, written to the shared checkpoint folder and read back.
+
+    A written table cuts the lineage, survives lost executors and tells the planner its true size,
+    which checkpoint() does not: its estimates multiply from join to join. The table goes when the
+    session ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/citegrain-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def narrow(df: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """Rows of two longs, hinted for broadcast where a count shows at most `most` of them (64 MB).
+
+    Beyond, the join shuffles as any other.
+    """
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:

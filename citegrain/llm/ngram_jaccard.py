@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import (
-    arrow_pass, bitmap, components, document_key, grams, in_bitmap, joined, mix, parts_of, signed, stored,
+    arrow_pass, bitmap, components, document_key, grams, in_bitmap, joined, mix, narrow, parts_of, signed, stored,
     texts_of, word_hashes,
 )
 
@@ -79,7 +79,7 @@ def _slot(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(doc_id, doc_key, n, cid, gkey, prefix) of every text; cid and gkey are null for empty sets."""
+    """(doc_id, doc_key, n, cid, gkey, row_key, prefix) of every text; cid and gkey are null for empty sets."""
     shared = documents.sparkSession.sparkContext.broadcast(counts)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,13 +97,13 @@ def signatures(documents: DataFrame, counts: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("doc_key"), pa.array(sizes.astype(np.int64)),
              pa.array(digest.view(np.int64), mask=empty), pa.array(group.view(np.int64), mask=empty),
-             pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), signed(found[head]))],
-            ["doc_id", "doc_key", "n", "cid", "gkey", "prefix"],
+             signed(_row_keys(digest, batch.column("doc_key"))), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), signed(found[head]))],
+            ["doc_id", "doc_key", "n", "cid", "gkey", "row_key", "prefix"],
         )
 
     return arrow_pass(
         documents, step,
-        f"doc_id {dict(documents.dtypes)['doc_id']}, doc_key long, n long, cid long, gkey long, prefix array<long>",
+        f"doc_id {dict(documents.dtypes)['doc_id']}, doc_key long, n long, cid long, gkey long, row_key long, prefix array<long>",
     )
 
 
@@ -113,26 +113,60 @@ def _digests(found: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndar
     return mix(sums[first[1:]] - sums[first[:-1]] + sizes.astype(np.uint64))
 
 
-def class_sets(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(cid, shingles) of the classes that the bitmap lets through."""
-    shared = documents.sparkSession.sparkContext.broadcast(wanted)
+def class_sets(documents: DataFrame, left: np.ndarray, right: np.ndarray) -> DataFrame:
+    """(cid, n, shingles, marks, left, right) of the rows whose class and row the bitmaps let through.
+
+    marks are the distinct last 16 bits of the shingles.
+
+    The bitmaps hold one row of each class of a side. They may let others through: a copy, whose
+    pairs then come twice, or another class, which no pair names.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((left, right))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, owner = shingle_sets(texts_of(batch.column("text")))
         sizes = np.bincount(owner, minlength=batch.num_rows)
         first = np.concatenate(([0], np.cumsum(sizes)))
         digest = _digests(found, first, sizes)
-        _, rows = np.unique(digest, return_index=True)
-        rows = rows[in_bitmap(shared.value, digest[rows]) & (sizes[rows] > 0)]
+        keys = _row_keys(digest, batch.column("doc_key"))
+        sides = [in_bitmap(words, keys) & (sizes > 0) for words in shared.value]
+        rows = np.flatnonzero(sides[0] | sides[1])
         cuts = np.concatenate(([0], np.cumsum(sizes[rows])))
-        place = np.repeat(first[rows] - cuts[:-1], sizes[rows]) + np.arange(cuts[-1])
+        found = found[np.repeat(first[rows] - cuts[:-1], sizes[rows]) + np.arange(cuts[-1])]
+        marks = np.unique(np.repeat(np.arange(len(rows)) << 16, sizes[rows]) | (found & np.uint64(0xFFFF)).astype(np.int64))
+        ends = np.searchsorted(marks, np.arange(len(rows) + 1) << 16)
+        return pa.RecordBatch.from_arrays(
+            [signed(digest[rows]), pa.array(sizes[rows].astype(np.int32)),
+             pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), signed(found)),
+             pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(marks.astype(np.uint16).view(np.int16))),
+             *(pa.array(side[rows]) for side in sides)],
+            ["cid", "n", "shingles", "marks", "left", "right"],
+        )
+
+    return arrow_pass(
+        documents.select("text", "doc_key"), step,
+        "cid long, n int, shingles array<long>, marks array<short>, left boolean, right boolean",
+    )
+
+
+def postings(reps: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(token, gid, n, at) of every prefix shingle of the groups, of those the bitmap lets through."""
+    shared = reps.sparkSession.sparkContext.broadcast(wanted)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("prefix")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        token, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+        at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keep = slice(None) if shared.value is None else in_bitmap(shared.value, token.view(np.uint64))
+        rows = pa.array(row[keep])
         return pa.RecordBatch.from_arrays(
-            [signed(digest[rows]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), signed(found[place]))],
-            ["cid", "shingles"],
+            [pa.array(token[keep]), batch.column("gid").take(rows), batch.column("n").take(rows),
+             pa.array(at[keep].astype(np.int32))],
+            ["token", "gid", "n", "at"],
         )
 
-    sets = arrow_pass(documents.select("text"), step, "cid long, shingles array<long>")
-    return sets.groupBy("cid").agg(F.first("shingles").alias("shingles"))
+    return arrow_pass(reps.select("gid", "n", "prefix"), step, "token long, gid long, n long, at int")
 
 
 def may_link(n: Column, at: Column, m: Column, there: Column) -> Column:
@@ -140,78 +174,122 @@ def may_link(n: Column, at: Column, m: Column, there: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - at, m - there) >= 4 * (n + m))
 
 
-def linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, by exact intersection."""
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    sets = stored(class_sets(documents, bitmap(sides, "cid", 26)))
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    shares = both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("t"))
-    return stored(shares.where("100 * i >= 80 * (t - i)").select("a", "b"))
+def linked(pairs: DataFrame, rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, by exact intersection.
+
+    `rows` gives (cid, row_key) of one row for each class. Marks come first: they are a quarter of
+    the size, and common marks plus those a set lost to itself are never fewer than the common
+    shingles, so only pairs that may be similar fetch their whole sets.
+    """
+    sides = [
+        bitmap(pairs.select(F.col(c).alias("cid")).distinct().join(rows, "cid"), "row_key", 26) for c in ("a", "b")
+    ]
+    sets = stored(class_sets(documents, *sides))
+    near = _side(sets, "left", "a", "marks").join(narrow(pairs), "a").join(_side(sets, "right", "b", "marks"), "b")
+    lost = F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb"))
+    near = stored(_similar(near.withColumn("i", F.size(F.array_intersect("sa", "sb")) + lost)))
+    wanted = narrow(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    few = sets.join(wanted, "cid", "left_semi")
+    both = _side(few, "left", "a", "shingles").join(narrow(near), "a").join(_side(few, "right", "b", "shingles"), "b")
+    return stored(_similar(both.withColumn("i", F.size(F.array_intersect("sa", "sb")))))
+
+
+def _side(sets: DataFrame, side: str, name: str, kind: str) -> DataFrame:
+    return sets.where(side).select(F.col("cid").alias(name), F.col("n").alias(f"n{name}"), F.col(kind).alias(f"s{name}"))
+
+
+def _similar(pairs: DataFrame) -> DataFrame:
+    shares = pairs.select("a", "b", "i", (F.col("na") + F.col("nb")).alias("t"))
+    return shares.where("100 * i >= 80 * (t - i)").select("a", "b")
 
 
 def class_roots(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with others."""
-    classes = rows.where("n > 0").groupBy("cid").agg(F.first("gkey").alias("gkey"))
-    grouped = rows.where("n > 0").groupBy("gkey").agg(
-        F.min_by(F.struct("cid", "n", "prefix"), "cid").alias("rep")
+    classes = stored(
+        rows.where("n > 0").groupBy("cid")
+        .agg(F.min("gkey").alias("gkey"), F.min("row_key").alias("row_key"))
+    )
+    row_keys = classes.select("cid", "row_key")
+    reps = stored(
+        rows.where("n > 0").groupBy("gkey").agg(F.min_by(F.struct("cid", "n", "prefix"), "cid").alias("rep"))
+        .select("gkey", F.col("rep.cid").alias("gid"), "rep.n", "rep.prefix")
     )
-    reps = grouped.select("gkey", F.col("rep.cid").alias("gid"), "rep.n", "rep.prefix")
     members = stored(
         classes.join(reps.select("gkey", "gid"), "gkey").where("cid <> gid").select("gid", "cid")
     )
-    postings = reps.select("gid", "n", F.posexplode("prefix").alias("at", "token"))
-    busy = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    busy = stored(postings.join(busy, "token"))
-    centres = busy.groupBy("token").agg(F.min(F.struct("at", "n", "gid")).alias("c")).select(
+    counted = postings(reps).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    shared = stored(counted)
+    met = postings(reps, bitmap(shared, "token", 26)).join(shared, "token")
+    centres = met.groupBy("token").agg(F.min(F.struct("at", "n", "gid")).alias("c")).select(
         "token", F.col("c.gid").alias("centre"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat")
     )
-    busy = stored(busy.join(centres, "token"))
+    # no partner in the posting stands before the centre, which bounds what a row can reach
+    busy = stored(met.join(centres, "token").where("5 * at + 4 * cat <= n"))
     near = may_link(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"))
     pairs = stored(
         busy.where((F.col("gid") != F.col("centre")) & near)
-        .select(F.least("gid", "centre").alias("a"), F.greatest("gid", "centre").alias("b"))
-        .union(members.select(F.least("gid", "cid"), F.greatest("gid", "cid"))).distinct()
+        .select(F.col("centre").alias("a"), F.col("gid").alias("b"))
+        .union(members.select("gid", "cid")).distinct()
     )
-    links = linked(pairs, documents)
+    links = linked(pairs, row_keys, documents)
     roots = stored(components(links))
-    rest = stored(_rest(busy, members, roots).join(pairs, ["a", "b"], "left_anti"))
+    done = pairs.union(pairs.select("b", "a"))
+    rest = stored(_rest(busy, members, roots).join(done, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return roots
-    return components(links.union(linked(rest, documents)))
+    return components(links.union(linked(rest, row_keys, documents)))
 
 
 def _rest(busy: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a posting or a group."""
+    """Pairs of classes of different components that share a posting or a group.
+
+    Groups outside `known` are one class in a component of its own.
+    """
     own = members.join(roots.toDF("cid", "root"), "cid", "left").select("gid", "cid", F.coalesce("root", "cid").alias("root"))
-    reps = busy.select("gid").union(members.select("gid")).distinct()
-    reps = reps.join(roots.toDF("gid", "root"), "gid", "left").select(
-        "gid", F.col("gid").alias("cid"), F.coalesce("root", "gid").alias("root")
+    lone = members.select("gid").distinct().join(roots.toDF("gid", "root"), "gid", "left_anti")
+    known = stored(
+        own.union(lone.select("gid", "gid", "gid"))
+        .union(roots.select("node", "node", "root"))
+    )
+    bounds = stored(known.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    of_centre = bounds.toDF("centre", "clo", "chi")
+    labelled = (
+        busy.select("token", "gid", "n", "at", "centre").join(bounds, "gid", "left").join(of_centre, "centre", "left")
+        .select(
+            "token", "gid", "n", "at", *(F.coalesce(c, "gid").alias(c) for c in ("lo", "hi")),
+            *(F.coalesce(c, "centre").alias(c) for c in ("clo", "chi")),
+        )
     )
-    whole = stored(own.union(reps))
-    bounds = stored(whole.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-    labelled = stored(
-        busy.select("token", "gid", "n", "at", "centre").join(bounds, "gid")
-        .join(bounds.toDF("centre", "clo", "chi"), "centre")
-        .select("token", "gid", "n", "at", "lo", "hi", ((F.col("lo") == F.col("chi")) & (F.col("hi") == F.col("clo"))).alias("same"))
+    labelled = stored(labelled)
+    apart = labelled.where("not (lo = hi and hi = clo and clo = chi)").select(
+        "token", *(F.col(c).alias(f"x_{c}") for c in ("gid", "n", "at", "lo", "hi"))
     )
-    apart = labelled.where("not same").select("token", *(F.col(c).alias(f"x_{c}") for c in ("gid", "n", "at", "lo", "hi")))
     met = (
-        apart.join(labelled, "token")
+        apart.join(labelled.drop("clo", "chi"), "token")
         .where(may_link(F.col("n"), F.col("at"), F.col("x_n"), F.col("x_at")))
         .where("gid <> x_gid and not (lo = x_hi and hi = x_lo)")
         .select(F.least("gid", "x_gid").alias("g"), F.greatest("gid", "x_gid").alias("h")).distinct()
     )
-    left = whole.toDF("g", "a", "ra")
-    right = whole.toDF("h", "b", "rb")
-    across = met.join(left, "g").join(right, "h").where("ra <> rb").select("a", "b")
-    mixed = whole.join(bounds.where("lo <> hi"), "gid")
+    met = stored(met)
+    ends = met.select(F.explode(F.array("g", "h")).alias("gid")).distinct()
+    whole = stored(
+        known.join(ends, "gid", "left_semi").union(
+            ends.join(known, "gid", "left_anti").select("gid", "gid", "gid")
+        )
+    )
+    across = met.join(whole.toDF("g", "a", "ra"), "g").join(whole.toDF("h", "b", "rb"), "h").where("ra <> rb")
+    mixed = known.join(bounds.where("lo <> hi"), "gid")
     strays = mixed.where("root <> lo").select("gid", F.col("cid").alias("a"), F.col("root").alias("ra"))
     inside = strays.join(mixed.select("gid", F.col("cid").alias("b"), F.col("root").alias("rb")), "gid").where("ra <> rb")
-    pairs = across.union(inside.select("a", "b"))
+    pairs = across.select("a", "b").union(inside.select("a", "b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _row_keys(digest: np.ndarray, doc_key: pa.Array) -> np.ndarray:
+    """Hash of a row's class together with the row."""
+    return digest ^ mix(doc_key.to_numpy().view(np.uint64))
+
+
 def _slim(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text", document_key(F.col("text"), F.col("doc_id")).alias("doc_key"))
 
@@ -263,3 +341,32 @@ def keep_one(documents: DataFrame) -> DataFrame:
     if not kept.where("_times > 1").isEmpty():
         once = once.union(found.where("_times > 1").dropDuplicates(["_id", "_key"]))
     return once.drop("_id", "_key", "_times")
+
+
+def oracle_sql() -> str:
+    """The same components in SQL, by all pairs that share a shingle."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE spelt AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM spelt
+), shingles AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i
+  FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sets m ON m.doc_id = c.a JOIN sets n ON n.doc_id = c.b
+  WHERE 100 * i >= 80 * (len(m.s) + len(n.s) - i)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+"""

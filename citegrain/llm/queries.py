@@ -78,4 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": url_filter.oracle_sql(),
+    "op9_ngram_jaccard": ngram_jaccard.oracle_sql(),
+}

@@ -187,7 +187,19 @@ def question_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return asked.select("item_id", F.array_join(questions.kinds(F.col("text")), "|").alias("kinds"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM conversations),
+c AS (SELECT *, string_split(regexp_replace(regexp_replace(regexp_replace(s, '[?？]\\s*(\\S)', chr(1) || '\\1', 'g'),
+    '(?i)\\s+and\\s+((?:what|which|how|why|when|does|do|at|against)(?:[^\\pL\\pN_]|$))', chr(1) || '\\1', 'g'),
+    '\\s*그리고\\s*', chr(1), 'g'), chr(1)) AS a FROM t),
+p AS (SELECT conv_id, turn, s, list_filter(list_transform(
+    CASE WHEN len(a) > 1 THEN a ELSE string_split_regex(s, '(?i)\\s+and\\s+|\\s*(?:및|이며|이고)\\s*') END,
+    lambda x: regexp_replace(x, '^[ ,?？]+|[ ,?？]+$', '', 'g')), lambda x: length(x) >= 6)[1:3] AS k FROM c),
+q AS (SELECT conv_id, turn, CASE WHEN len(k) > 0 THEN k ELSE [s] END AS k FROM p)
+SELECT conv_id, turn, 'request-' || i AS facet_id, length(k[i])::BIGINT AS request_chars,
+  md5(CASE WHEN i = 1 THEN k[i] ELSE k[1] || '; ' || k[i] END) AS query_digest
+FROM q, unnest(range(1, len(k) + 1)) AS u(i)"""
+)
 def question_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Compound requests split into parts, for all conversation turns."""
     turns = texts(spark, folder, "conversations", "conv_id", "turn", "text")

@@ -105,7 +105,12 @@ def read_evaluation(
 ) -> tuple[DataFrame, DataFrame]:
     """Questions and gold, one gold row per question; of repeated rows the last line wins."""
     lines = spark.read.schema(schemas.GOLD).json(gold).withColumn(
-        "_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+        "_at",
+        # blocks order a file; inside a block the rows of one partition count upwards
+        F.struct(
+            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+            F.monotonically_increasing_id(),
+        ),
     )
     last = Window.partitionBy("question_id").orderBy(F.desc("_at"))
     rows = lines.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_at", "_n")

@@ -157,17 +157,17 @@ fused AS (
     )
 
 
-def guarded_ctes() -> str:
-    """CTEs ending in ``guarded``: page 1 keeps one of the 20 slots when it is in reach."""
-    return pool_ctes() + """,
-paged AS (SELECT f.*, c.page FROM fused f JOIN chunk c USING (paper_id, chunk_id)),
-flag AS (SELECT *, max((page = 1 AND rank <= 20)::INT) OVER w AS present,
+def guarded_ctes(page: str = "c.page", k: int = 20) -> str:
+    """CTEs ending in ``guarded``: page 1 keeps one of the ``k`` slots when it is in reach."""
+    return pool_ctes() + f""",
+paged AS (SELECT f.*, {page} AS page FROM fused f JOIN chunk c USING (paper_id, chunk_id)),
+flag AS (SELECT *, max((page = 1 AND rank <= {k})::INT) OVER w AS present,
                 min(CASE WHEN page = 1 THEN rank END) OVER w AS best
          FROM paged WINDOW w AS (PARTITION BY query_id, paper_id)),
 guarded AS (SELECT query_id, paper_id, chunk_id, page, score, injected,
                    row_number() OVER (PARTITION BY query_id, paper_id ORDER BY rank) AS rank
             FROM (SELECT *, coalesce(present = 0 AND rank = best, false) AS injected FROM flag)
-            WHERE injected OR rank <= CASE WHEN present = 0 AND best IS NOT NULL THEN 19 ELSE 20 END)"""
+            WHERE injected OR rank <= CASE WHEN present = 0 AND best IS NOT NULL THEN {k - 1} ELSE {k} END)"""
 
 
 def reranked_ctes() -> str:
@@ -215,17 +215,17 @@ def shingles(words: str) -> str:
     )
 
 
-def selection_ctes() -> str:
+def selection_ctes(page: str = "page", near: float = 0.85) -> str:
     """CTEs ending in ``chosen``: the greedy scan, one candidate per recursive step. Holds
     for questions without a recognised kind or aspect, which the driver's texts are."""
     return reranked_ctes() + f""",
-item AS (SELECT query_id, paper_id, chunk_id, page, new_rank AS r, plain, {facts('text')} AS facts,
+item AS (SELECT query_id, paper_id, chunk_id, {page} AS page, new_rank AS r, plain, {facts('text')} AS facts,
                 {shingles('plain')} AS sh
          FROM (SELECT *, {plain('text')} AS plain FROM reranked WHERE new_rank <= 20)),
 near AS (SELECT b.query_id, b.paper_id, b.r,
            list(a.r) FILTER (WHERE a.facts = b.facts AND a.plain = b.plain) AS same_text,
            list(a.r) FILTER (WHERE a.facts = b.facts AND len(list_intersect(a.sh, b.sh))::DOUBLE /
-             greatest(1, len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))) >= 0.85) AS near_text,
+             greatest(1, len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh))) >= {near}) AS near_text,
            list(a.r) FILTER (WHERE a.page = b.page) AS same_page
          FROM item b LEFT JOIN item a ON a.query_id = b.query_id AND a.paper_id = b.paper_id AND a.r < b.r
          GROUP BY ALL),

@@ -420,6 +420,16 @@ def front_page_guard(spark: SparkSession, folder: str) -> DataFrame:
     return retrieve.ensure_page(pool).select(*ASK, "chunk_id", *_long("page", "rank"), "injected")
 
 
+@query(
+    sql.COLLECTION + "," + sql.guarded_ctes("c.page % 7", 5)
+    + " SELECT query_id, chunk_id, page::BIGINT AS page, rank::BIGINT AS rank, injected FROM guarded"
+)
+def page_guard_top5(spark: SparkSession, folder: str) -> DataFrame:
+    """The guard with five slots for pages folded to seven, so that it has to inject."""
+    pool = shared.collection_search(spark, folder).pool.withColumn("page", F.col("page") % 7)
+    return retrieve.ensure_page(pool, k=5).select("query_id", "chunk_id", *_long("page", "rank"), "injected")
+
+
 @query(
     sql.COLLECTION + "," + sql.reranked_ctes()
     + """ SELECT query_id, chunk_id, new_rank::BIGINT AS candidate_rank, round(rerank_score, 6) AS reranker_score,
@@ -519,7 +529,21 @@ def candidate_similarity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def evidence_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy selection per question: how many were kept and why others were skipped."""
-    rows = shared.collection_search(spark, folder).selection
+    return _counters(shared.collection_search(spark, folder).selection)
+
+
+@query(
+    sql.COLLECTION + "," + sql.selection_ctes("page % 3", 0.03)
+    + """ SELECT query_id, len(sel)::BIGINT AS selected, dup_text::BIGINT AS duplicate_text,
+  near_dup::BIGINT AS near_duplicate, capped::BIGINT AS page_cap FROM chosen"""
+)
+def evidence_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The same selection on pages folded to three with a low bound for near duplicates."""
+    candidates = shared.collection_search(spark, folder).candidates.withColumn("page", F.col("page") % 3)
+    return _counters(evidence.select(candidates, evidence.EvidencePolicy(near_duplicate=0.03)))
+
+
+def _counters(rows: DataFrame) -> DataFrame:
     return rows.select(
         "query_id", F.size("selected").cast("long").alias("selected"),
         *_long("duplicate_text", "near_duplicate", "page_cap"),

@@ -16,6 +16,9 @@ from citegrain.operators.ingest import Ingested, ingest
 from citegrain.session import spread_scan
 
 COLLECTION = "collection"
+# headings that derived pages open with, by doc_id, and the section some end in
+OPENINGS = ("1 Introduction", None, "Abstract", "II. METHODS AND DATA", None, None)
+CLOSING = "Conclusion\nClosing words of the page."
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -47,6 +50,22 @@ def document_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def headed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The document pages with headings: every other one opens with one, every fourth ends in
+    one more section."""
+    rows = texts(spark, folder, "documents", "doc_id", "source", "text")
+    opening = F.element_at(
+        F.array(*[F.lit(h) for h in OPENINGS]), (F.col("doc_id") % len(OPENINGS) + 1).cast("int")
+    )
+    closing = F.when(F.col("doc_id") % 4 == 1, F.lit(CLOSING))
+    return _raw(
+        rows.select(
+            F.col("source").alias("paper_id"), (F.col("doc_id") + 1).alias("page"),
+            F.concat_ws("\n", opening, "text", closing).alias("raw_text"),
+        )
+    )
+
+
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     return _raw(
         texts(spark, folder, "conversations", "conv_id", "turn", "role", "text")

@@ -291,6 +291,49 @@ def section_overview(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_OPENING = "CASE doc_id % 6 " + " ".join(
+    f"WHEN {k} THEN '{h}'" for k, h in enumerate(corpora.OPENINGS) if h
+) + " END"
+_HEADED = f"""WITH d AS (SELECT source AS paper_id, doc_id + 1 AS page, text, {_OPENING} AS h, doc_id % 4 = 1 AS closes FROM documents),
+headed AS (SELECT *, coalesce(h, last_value(CASE WHEN closes THEN 'Conclusion' ELSE h END IGNORE NULLS) OVER (
+    PARTITION BY paper_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Front Matter') AS section,
+  {sql.clean("coalesce(h || chr(10), '') || text")} AS body FROM d)"""
+
+
+@query(
+    _HEADED + """ SELECT paper_id, page::BIGINT AS page,
+  CASE WHEN body <> '' THEN section ELSE '' END || CASE WHEN body <> '' AND closes THEN '|' ELSE '' END
+    || CASE WHEN closes THEN 'Conclusion' ELSE '' END AS sections,
+  (length(body) + CASE WHEN closes THEN length('Conclusion Closing words of the page.') ELSE 0 END)::BIGINT AS chars
+FROM headed"""
+)
+def sectioned_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of pages with headings; a page without one continues the section before it."""
+    pages = ingest.ingest(corpora.headed_pages(spark, folder)).pages
+    return pages.select(
+        "paper_id", *_long("page"), F.array_join(F.transform("sections", lambda s: s["section"]), "|").alias("sections"),
+        F.aggregate("sections", F.lit(0), lambda n, s: n + F.length(s["text"])).cast("long").alias("chars"),
+    )
+
+
+@query(
+    _HEADED + """, named AS (SELECT paper_id, section AS s FROM headed WHERE section <> 'Front Matter' AND body <> ''
+  UNION SELECT paper_id, 'Conclusion' FROM headed WHERE closes),
+told AS (SELECT paper_id, body, min(page) AS page FROM headed WHERE section = 'Abstract' AND body <> '' GROUP BY ALL)
+SELECT p.paper_id, (SELECT count(*) FROM named n WHERE n.paper_id = p.paper_id)::BIGINT AS sections,
+  coalesce((SELECT md5(regexp_replace(string_agg(body, ' ' ORDER BY page), '(?i)^abstract[ :-]*', '')) FROM told t
+    WHERE t.paper_id = p.paper_id), '') AS abstract
+FROM (SELECT DISTINCT paper_id FROM headed) p"""
+)
+def headed_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """Named sections and the abstract of every source of pages with headings."""
+    overview = ingest.section_overview(ingest.ingest(corpora.headed_pages(spark, folder)).pages)
+    return overview.select(
+        "paper_id", F.size("sections").cast("long").alias("sections"),
+        F.coalesce(F.md5("abstract"), F.lit("")).alias("abstract"),
+    )
+
+
 @query(
     "WITH h AS (SELECT source AS paper_id, sha256(doc_id::VARCHAR || chr(0) || text || chr(0)) AS h FROM documents) "
     "SELECT paper_id, sha256(concat_ws(':', "

@@ -726,6 +726,64 @@ def payload_contract(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Payloads derived from the documents, so that every contract rule is broken somewhere.
+_PAYLOADS = f"""SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'ko' ELSE 'en' END AS language,
+  CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN repeat('long ', 801) WHEN 2 THEN '한글 답변' WHEN 3 THEN '{policy.ABSTENTION["en"]}'
+    ELSE substr(text, 1, 80) || '.' END AS answer,
+  CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN ['ev-01-a', 'ev-02-b'] WHEN 2 THEN ['ev-01-a', 'ev-01-a'] WHEN 3 THEN ['wrong', 'ev-01-a']
+    WHEN 4 THEN ['ev-01-a', 'ev-02-b', 'ev-03-c', 'ev-04-d', 'ev-05-e', 'ev-06-f'] ELSE []::VARCHAR[] END AS ids,
+  CASE doc_id % 5 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'insufficient' WHEN 2 THEN 'maybe' WHEN 3 THEN 'sufficient' END AS sufficiency,
+  CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN 'why' ELSE repeat('x', 1001) END AS reason FROM documents"""
+_BROKEN = {
+    "empty_answer": "NOT regexp_matches(answer, '\\S')", "answer_too_long": "length(answer) > 4000",
+    "answer_language": "regexp_matches(answer, '[가-힣]') <> (language = 'ko')", "missing_ids": "ids IS NULL",
+    "too_many_ids": "len(ids) > 5", "repeated_ids": "len(ids) <> len(list_distinct(ids))",
+    "malformed_ids": "len(list_filter(ids, lambda i: NOT regexp_full_match(i, 'ev-[0-9]{2}-.+'))) > 0",
+    "unknown_ids": "len(list_filter(ids, lambda i: i NOT IN ('ev-01-a', 'ev-02-b', 'ev-03-c', 'wrong'))) > 0",
+    "sufficiency": "sufficiency IS NULL OR sufficiency NOT IN ('sufficient', 'insufficient')",
+    "uncited_answer": "sufficiency = 'sufficient' AND len(ids) = 0",
+    "answer_with_reason": "sufficiency = 'sufficient' AND reason IS NOT NULL",
+    "answer_is_refusal": f"sufficiency = 'sufficient' AND answer = CASE language WHEN 'ko' THEN '{policy.ABSTENTION['ko']}' "
+    f"ELSE '{policy.ABSTENTION['en']}' END",
+    "cited_refusal": "sufficiency = 'insufficient' AND len(ids) > 0",
+    "refusal_without_reason": "sufficiency = 'insufficient' AND (reason IS NULL OR NOT regexp_matches(reason, '\\S'))",
+    "reason_too_long": "sufficiency = 'insufficient' AND length(reason) > 1000",
+}
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _BROKEN.items())
+    + f"], lambda x: x IS NOT NULL), '|') AS broken FROM ({_PAYLOADS})"
+)
+def payload_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Contract rules broken by payloads derived from the documents."""
+    n = F.col("doc_id")
+    ids = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    docs = texts(spark, folder, "documents", "doc_id", "text")
+    answer_text = (
+        F.when(n % 7 == 0, "").when(n % 7 == 1, F.repeat(F.lit("long "), 801)).when(n % 7 == 2, "한글 답변")
+        .when(n % 7 == 3, policy.ABSTENTION["en"]).otherwise(F.concat(F.substring("text", 1, 80), F.lit(".")))
+    )
+    cited = (
+        F.when(n % 6 == 1, ids("ev-01-a", "ev-02-b")).when(n % 6 == 2, ids("ev-01-a", "ev-01-a"))
+        .when(n % 6 == 3, ids("wrong", "ev-01-a"))
+        .when(n % 6 == 4, ids("ev-01-a", "ev-02-b", "ev-03-c", "ev-04-d", "ev-05-e", "ev-06-f")).when(n % 6 == 5, ids())
+    )
+    enough = F.when((n % 5).isin(0, 3), "sufficient").when(n % 5 == 1, "insufficient").when(n % 5 == 2, "maybe")
+    reason = F.when(n % 4 == 1, " ").when(n % 4 == 2, "why").when(n % 4 == 3, F.repeat(F.lit("x"), 1001))
+    payload = F.struct(
+        answer_text.alias("answer"), cited.alias("evidence_ids"), enough.alias("sufficiency"),
+        reason.alias("abstention_reason"),
+    )
+    language = F.when(n % 11 == 0, "ko").otherwise("en")
+    rows = docs.select("doc_id", payload.alias("payload"), language.alias("language"))
+    broken = answer.payload_violations(
+        F.col("payload"), F.col("language"), ids("ev-01-a", "ev-02-b", "ev-03-c", "wrong")
+    )
+    return rows.select("doc_id", F.array_join(broken, "|").alias("broken"))
+
+
 @query()
 def number_claims(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical numbers and measurements stated in every document that states any."""

@@ -1060,6 +1060,110 @@ def job_status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.status_counts(jobs.latest_state(_job_events(spark, folder), tie="event_id"))
 
 
+# Chunks and pages derived from the documents, each rule broken by some.
+_CHUNK_ROWS = """SELECT 'c' || (doc_id - (doc_id % 50 = 49)::INT) AS chunk_id, source AS paper_id,
+  CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE substr(text, 1, 1250) END AS text, doc_id // 3 + (doc_id % 23 = 0)::INT AS page,
+  CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 29 = 0 THEN 'Other' ELSE 'Body' END AS section,
+  length(CASE WHEN doc_id % 13 = 0 THEN ' ' ELSE substr(text, 1, 1250) END) + (doc_id % 19 = 0)::INT AS char_count,
+  'p' || (doc_id // 3) AS source_page_id FROM documents"""
+_PAGE_ROWS = """SELECT 'p' || (doc_id // 3 - (doc_id % 300 = 297)::INT) AS page_id, source AS paper_id, doc_id // 3 AS page, text,
+  length(text) + (doc_id % 33 = 0)::INT AS char_count, length(text) + (doc_id % 39 = 0)::INT AS section_chars
+FROM documents WHERE doc_id % 3 = 0 AND doc_id % 15 <> 0"""
+
+
+@query(
+    f"""WITH c AS ({_CHUNK_ROWS}), p AS ({_PAGE_ROWS}), j AS (SELECT c.*, p.page_id, p.paper_id AS pp, p.page AS pn
+  FROM c LEFT JOIN p ON p.page_id = c.source_page_id)
+SELECT 'blank_text' AS rule, chunk_id AS id FROM c WHERE NOT regexp_matches(text, '\\S')
+UNION ALL SELECT 'blank_section', chunk_id FROM c WHERE NOT regexp_matches(section, '\\S')
+UNION ALL SELECT 'char_count', chunk_id FROM c WHERE char_count <> length(text)
+UNION ALL SELECT 'over_size', chunk_id FROM c WHERE length(text) > 1200
+UNION ALL SELECT 'duplicate_id', chunk_id FROM c GROUP BY chunk_id HAVING count(*) > 1
+UNION ALL SELECT 'unknown_page', chunk_id FROM j WHERE page_id IS NULL
+UNION ALL SELECT 'page_mismatch', chunk_id FROM j WHERE page_id IS NOT NULL AND (pp <> paper_id OR pn <> page)
+UNION ALL SELECT 'unknown_section', chunk_id FROM j WHERE page_id IS NOT NULL AND section <> 'Body'
+UNION ALL SELECT 'page_char_count', page_id FROM p WHERE char_count <> length(text)
+UNION ALL SELECT 'section_char_count', page_id FROM p WHERE section_chars <> length(text)
+UNION ALL SELECT 'duplicate_id', page_id FROM p GROUP BY page_id HAVING count(*) > 1"""
+)
+def chunk_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunk and page rules on derived rows that break every one of them."""
+    n, docs = F.col("doc_id"), texts(spark, folder, "documents", "doc_id", "source", "text")
+    one = lambda test: F.when(test, 1).otherwise(0)
+    third = F.floor(n / 3)
+    body = F.when(n % 13 == 0, " ").otherwise(F.substring("text", 1, 1250))
+    chunks = docs.select(
+        F.concat(F.lit("c"), n - one(n % 50 == 49)).alias("chunk_id"), F.col("source").alias("paper_id"),
+        body.alias("text"), (third + one(n % 23 == 0)).alias("page"),
+        F.when(n % 17 == 0, "").when(n % 29 == 0, "Other").otherwise("Body").alias("section"),
+        (F.length(body) + one(n % 19 == 0)).alias("char_count"), F.concat(F.lit("p"), third).alias("source_page_id"),
+    )
+    part = F.struct(
+        F.lit("Body").alias("section"), F.col("text"), (F.length("text") + one(n % 39 == 0)).alias("char_count")
+    )
+    pages = docs.where((n % 3 == 0) & (n % 15 != 0)).select(
+        F.concat(F.lit("p"), third - one(n % 300 == 297)).alias("page_id"), F.col("source").alias("paper_id"),
+        third.alias("page"), "text", (F.length("text") + one(n % 33 == 0)).alias("char_count"),
+        F.array(part).alias("sections"),
+    )
+    return validate.chunk_rules(chunks, ingest.CHUNK_SIZE).unionByName(validate.traceability(chunks, pages))
+
+
+_QUESTION_ROWS = """SELECT CASE WHEN item_id % 10 = 9 THEN 'q' || (item_id - 1) ELSE 'q' || item_id END AS question_id,
+  CASE WHEN item_id % 7 = 0 THEN '' ELSE 's' || item_id % 3 END AS paper_id, CASE WHEN item_id % 8 = 3 THEN '질문 ' || text ELSE text END AS question,
+  CASE WHEN item_id % 6 = 5 THEN 'de' WHEN item_id % 8 IN (3, 4) THEN 'ko' ELSE 'en' END AS question_language,
+  CASE item_id % 4 WHEN 0 THEN 'factual' WHEN 1 THEN 'numeric' WHEN 2 THEN 'odd' END AS question_type,
+  CASE WHEN item_id % 9 <> 0 THEN item_id % 2 = 0 END AS answerable FROM benchmark"""
+
+
+@query(
+    f"""WITH q AS ({_QUESTION_ROWS})
+SELECT 'missing_paper_id' AS rule, question_id AS id FROM q WHERE paper_id = ''
+UNION ALL SELECT 'missing_question_type', question_id FROM q WHERE question_type IS NULL
+UNION ALL SELECT 'language', question_id FROM q WHERE question_language NOT IN ('en', 'ko')
+UNION ALL SELECT 'language_mismatch', question_id FROM q
+  WHERE question_language <> CASE WHEN regexp_matches(question, '[가-힣]') THEN 'ko' ELSE 'en' END
+UNION ALL SELECT 'type', question_id FROM q WHERE question_type IS NULL OR question_type NOT IN ('factual', 'numeric')
+UNION ALL SELECT 'answerable', question_id FROM q WHERE answerable IS NULL
+UNION ALL SELECT 'duplicate_id', question_id FROM q GROUP BY question_id HAVING count(*) > 1"""
+)
+def question_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Question rules on rows derived from the benchmark."""
+    n = F.col("item_id")
+    rows = table(spark, folder, "benchmark").select(
+        F.concat(F.lit("q"), F.when(n % 10 == 9, n - 1).otherwise(n)).alias("question_id"),
+        F.when(n % 7 == 0, "").otherwise(F.concat(F.lit("s"), n % 3)).alias("paper_id"),
+        F.when(n % 8 == 3, F.concat(F.lit("질문 "), "text")).otherwise(F.col("text")).alias("question"),
+        F.when(n % 6 == 5, "de").when((n % 8).isin(3, 4), "ko").otherwise("en").alias("question_language"),
+        F.when(n % 4 == 0, "factual").when(n % 4 == 1, "numeric").when(n % 4 == 2, "odd").alias("question_type"),
+        F.when(n % 9 != 0, n % 2 == 0).alias("answerable"),
+    )
+    return validate.question_rules(rows, ("factual", "numeric"))
+
+
+_PAIR_ROWS = """SELECT doc_id // 2 AS meaning_id, CASE WHEN doc_id % 2 = (doc_id % 14 = 7)::INT THEN 'en' ELSE 'ko' END AS language,
+  CASE WHEN doc_id % 22 = 11 THEN 'other' ELSE 'same' END AS answerability, source AS paper_id FROM documents WHERE doc_id % 26 <> 13"""
+
+
+@query(
+    f"""WITH g AS (SELECT meaning_id, count(*) AS n, count(*) FILTER (WHERE language = 'en') AS en,
+  count(*) FILTER (WHERE language = 'ko') AS ko, count(DISTINCT answerability) AS a, count(DISTINCT paper_id) AS p
+  FROM ({_PAIR_ROWS}) GROUP BY meaning_id)
+SELECT 'pair' AS rule, meaning_id::VARCHAR AS id FROM g WHERE NOT (n = 2 AND en = 1 AND ko = 1)
+UNION ALL SELECT 'differs_answerability', meaning_id::VARCHAR FROM g WHERE a <> 1
+UNION ALL SELECT 'differs_paper_id', meaning_id::VARCHAR FROM g WHERE p <> 1"""
+)
+def pair_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Language pairs that are incomplete or differ in a label."""
+    n = F.col("doc_id")
+    rows = table(spark, folder, "documents").where(n % 26 != 13).select(
+        F.floor(n / 2).alias("meaning_id"),
+        F.when(n % 2 == F.when(n % 14 == 7, 1).otherwise(0), "en").otherwise("ko").alias("language"),
+        F.when(n % 22 == 11, "other").otherwise("same").alias("answerability"), F.col("source").alias("paper_id"),
+    )
+    return validate.pairing(rows, ("answerability", "paper_id"))
+
+
 @query(
     """SELECT 'missing' AS rule, doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 UNION ALL SELECT 'extra', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)"""

@@ -53,8 +53,15 @@ def search(
     encoder: Encoder | None = None,
     scorer: retrieve.Scorer = retrieve.lexical_scorer,
     policy: SearchPolicy = SearchPolicy(),
+    known_only: bool = False,
 ) -> SearchResult:
-    """Retrieve, fuse, guard the front page, rerank and select, for all questions."""
+    """Retrieve, fuse, guard the front page, rerank and select, for all questions.
+
+    With ``known_only`` a question about a paper without chunks is an error; else it finds
+    nothing and is refused later.
+    """
+    if known_only and (unknown := unknown_papers(asks, chunks).first()) is not None:
+        raise ValueError(f"unknown paper: {unknown['paper_id']}")
     index = index or build_index(chunks)
     vectors = vectors if vectors is not None else encode_passages(chunks, encoder)
     bm25 = retrieve.bm25_top_k(index, chunks, asks, policy.source_k)

@@ -169,3 +169,16 @@ def test_only_changed_chunks_are_encoded_again(spark):
     changed = chunks.withColumn("text", F.concat("text", F.when(F.col("chunk_id") == "c2", "s").otherwise("")))
     assert [r.chunk_id for r in index.missing_vectors(changed, cache, "m@1").collect()] == ["c2"]
     assert index.missing_vectors(chunks, cache, "m@2").count() == 2
+
+
+def test_questions_about_unknown_papers_are_refused_on_request(spark):
+    from citegrain.plans import search
+
+    chunks = spark.createDataFrame(
+        [("p", "p-1", 1, "s", "S", 1, 1, "graph models")],
+        "paper_id string, chunk_id string, page int, source_page_id string, section string, "
+        "section_index int, chunk_index int, text string",
+    )
+    asks = spark.createDataFrame([("q", "nowhere", "graph?")], "query_id string, paper_id string, question string")
+    with pytest.raises(ValueError, match="nowhere"):
+        search.search(asks, chunks, known_only=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE = 1 << 20
-PART = 1 << 23
+PART = 1 << 22
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def arrow_pass(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """One Arrow pass over the rows, in parts of bounded size."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,6 +36,14 @@ def arrow_pass(
     return df.mapInArrow(run, schema)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to PART bytes: texts may be long, and a batch lies in
+    memory twice on either side."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= PART:
+        spark.conf.set(key, f"{PART}b")
+
+
 def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about PART bytes, so that work on it needs bounded memory."""
     rows = max(1, batch.num_rows * PART // max(1, batch.nbytes))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +101,17 @@ def sparse_rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return [*zip(np.split(key % SIZE, cuts), np.split(share, cuts), strict=True)]
 
 
+def smallest(df: DataFrame, column: str, total: int, limit: int) -> DataFrame:
+    """At most `limit` rows of the smallest hashes, of `total` rows in all.
+
+    The rows below a hash that about a tenth more than the limit pass are taken first, wherever
+    they lie, so the final order never gathers more than those in one task.
+    """
+    share = min(1.0, 1.1 * limit / max(1, total))
+    below = min(2**63 - 1, int(share * 2**64) - 2**63)
+    return df.where(F.col(column) <= below).orderBy(column).limit(limit)
+
+
 def sample_rows(df: DataFrame, label: str, limit: int) -> pa.Table:
     """At most `limit` rows of (y, fold, index, value), those of the smallest hash of their text.
 
@@ -127,6 +139,29 @@ def sample_rows(df: DataFrame, label: str, limit: int) -> pa.Table:
     ).toArrow()
 
 
+class _Sparse:
+    """A matrix by rows and by columns, 16 bytes an entry; no row is empty."""
+
+    def __init__(self, index: pa.ListArray, value: pa.ListArray) -> None:
+        column, self.value = index.flatten().to_numpy(), value.flatten().to_numpy()
+        sizes = index.value_lengths().to_numpy(zero_copy_only=False)
+        self.first = np.cumsum(sizes) - sizes
+        order = np.argsort(column, kind="stable")
+        ranked = column[order]
+        self.column_first = np.flatnonzero(np.diff(ranked, prepend=-1))
+        self.used = ranked[self.column_first]
+        self.column = np.searchsorted(self.used, column).astype(np.int32)
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.value_by_column = self.value[order]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w.astype(np.float32)[self.column], self.first, dtype=np.float64)
+
+    def back(self, slack: np.ndarray) -> np.ndarray:
+        parts = self.value_by_column * slack.astype(np.float32)[self.row]
+        return np.add.reduceat(parts, self.column_first, dtype=np.float64)
+
+
 def train(rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1e-5) -> Scorer:
     """Logistic regression by accelerated gradient steps on folds 0-6, Platt calibration on 7-9.
 
@@ -134,20 +169,19 @@ def train(rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1
     their shares. Without held-out rows of both classes the fit is not calibrated. Plain steps
     move the n-grams that many texts share first, and leave those of one text near zero.
     """
+    rows = rows.filter(pc.greater(pc.list_value_length(rows["index"]), 0))
     y, fold = rows["y"].to_numpy(), rows["fold"].to_numpy()
-    lists = rows["index"].combine_chunks()
-    row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False))
-    index = lists.flatten().to_numpy()
-    value = rows["value"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    if not len(y):
+        return Scorer(np.zeros(SIZE, np.float32), 0.0)
+    matrix = _Sparse(rows["index"].combine_chunks(), rows["value"].combine_chunks())
     fit = fold < 7
     share = np.clip(y[fit].mean() if fit.any() else 0.5, 1e-3, 1 - 1e-3)
     weigh = np.where(fit, y / share + (1 - y) / (1 - share), 0) / max(1, 2 * fit.sum())
-    used, index = np.unique(index, return_inverse=True)
+    used = matrix.used
     w, ahead, bias, bias_ahead = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for k in range(rounds):
-        z = np.bincount(row, value * ahead[index], len(y)) + bias_ahead
-        slack = weigh * (sigmoid(z) - y)
-        new = ahead - rate * (np.bincount(index, value * slack[row], len(used)) + decay * ahead)
+        slack = weigh * (sigmoid(matrix.times(ahead) + bias_ahead) - y)
+        new = ahead - rate * (matrix.back(slack) + decay * ahead)
         new_bias = bias_ahead - rate * slack.sum()
         pull = k / (k + 3)
         ahead, bias_ahead = new + pull * (new - w), new_bias + pull * (new_bias - bias)
@@ -155,7 +189,7 @@ def train(rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1
     weights = np.zeros(SIZE, np.float32)
     weights[used] = w
     scorer = Scorer(weights, float(bias))
-    z, held = np.bincount(row, value * w[index], len(y)) + bias, y[~fit]
+    z, held = matrix.times(w) + bias, y[~fit]
     if len(held) and held.min() < 0.5 <= held.max():
         scorer.slope, scorer.shift = platt(z[~fit], held)
     return scorer

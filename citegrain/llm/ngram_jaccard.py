@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import (
-    arrow_pass, bitmap, components, document_key, grams, in_bitmap, joined, mix, narrow, parts_of, signed, stored,
+    arrow_pass, bitmap, bounded_batches, components, document_key, grams, in_bitmap, joined, mix, narrow, parts_of, signed, stored,
     texts_of, word_hashes,
 )
 
@@ -68,6 +68,7 @@ def slot_counts(documents: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
 
+    bounded_batches(documents.sparkSession)
     rows = documents.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH, np.int64)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
@@ -331,16 +332,16 @@ def keep_one(documents: DataFrame) -> DataFrame:
     kept = (
         rows.where("root is not null").groupBy("root", "doc_id", "doc_key").agg(F.count("*").alias("times"))
         .groupBy("root").agg(F.min(F.struct(order.alias("o"), "times")).alias("k"))
-        .select(F.col("k.o.doc_id").alias("_id"), F.col("k.o.doc_key").alias("_key"), F.col("k.times").alias("_times"))
+        .select(F.col("k.o.doc_id").alias("_citegrain_id"), F.col("k.o.doc_key").alias("_citegrain_key"), F.col("k.times").alias("_citegrain_times"))
     )
     empty = rows.where("root is null").select("doc_id", "doc_key").distinct()
     kept = stored(kept.union(empty.select("doc_id", "doc_key", F.lit(1).cast("long"))))
     key = document_key(documents["text"], documents["doc_id"])
-    found = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_id"]) & (key == kept["_key"]))
-    once = found.where("_times = 1")
-    if not kept.where("_times > 1").isEmpty():
-        once = once.union(found.where("_times > 1").dropDuplicates(["_id", "_key"]))
-    return once.drop("_id", "_key", "_times")
+    found = documents.join(kept, documents["doc_id"].eqNullSafe(kept["_citegrain_id"]) & (key == kept["_citegrain_key"]))
+    once = found.where("_citegrain_times = 1")
+    if not kept.where("_citegrain_times > 1").isEmpty():
+        once = once.union(found.where("_citegrain_times > 1").dropDuplicates(["_citegrain_id", "_citegrain_key"]))
+    return once.drop("_citegrain_id", "_citegrain_key", "_citegrain_times")
 
 
 def oracle_sql() -> str:

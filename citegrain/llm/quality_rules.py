@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import arrow_pass, texts_of
-from citegrain.llm.hashed import Scorer, sample_rows, train
+from citegrain.llm.hashed import Scorer, sample_rows, smallest, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -55,12 +55,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Scorer
     Labels are 0 or 1; null labels and labels of unknown documents are left out. Rows with several
     labels or ids with several rows count once each.
     """
-    picked = (
-        labels.where("quality is not null and doc_id is not null")
-        .select("doc_id", F.col("quality").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "label")
-        .limit(max_rows)
+    known = labels.where("quality is not null and doc_id is not null").select(
+        "doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id", "quality").alias("h")
     )
+    picked = smallest(known, "h", known.count(), max_rows).drop("h")
     rows = sample_rows(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "label", max_rows)
     return train(rows) if rows.num_rows and len(set(rows["y"].to_pylist())) > 1 else None
 

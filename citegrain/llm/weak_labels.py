@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import arrow_pass, texts_of
-from citegrain.llm.hashed import Scorer, sample_rows, train
+from citegrain.llm.hashed import Scorer, sample_rows, smallest, train
 from citegrain.llm.quality_rules import SYMBOLS, WORD, duplicate_lines, repeated_words
 
 # Frequent function words of English, German, French and Spanish.
@@ -118,10 +118,11 @@ def _digits(code: np.ndarray) -> np.ndarray:
     return code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-def fit_labels(documents: DataFrame) -> LabelModel:
-    """The label model, from the votes on all documents."""
-    counts = with_votes(documents).groupBy("pattern").count().orderBy("pattern").toArrow()
-    return estimate(_digits(counts["pattern"].to_numpy()), counts["count"].to_numpy())
+def fit_labels(documents: DataFrame) -> tuple[LabelModel, int]:
+    """The label model, from the votes on all documents, and how many they are."""
+    found = with_votes(documents).groupBy("pattern").count().orderBy("pattern").toArrow()
+    counts = found["count"].to_numpy()
+    return estimate(_digits(found["pattern"].to_numpy()), counts), int(counts.sum())
 
 
 def fit(documents: DataFrame, max_rows: int = 2000) -> tuple[LabelModel, Scorer | None]:
@@ -129,9 +130,9 @@ def fit(documents: DataFrame, max_rows: int = 2000) -> tuple[LabelModel, Scorer
 
     The scorer is None where the sample has no document of either kind.
     """
-    model = fit_labels(documents)
-    picked = documents.select("text", F.xxhash64("text").alias("h")).where("text is not null")
-    picked = picked.orderBy("h").limit(max_rows)
+    model, total = fit_labels(documents)
+    worded = documents.select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    picked = smallest(worded, "h", total, max_rows)
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()

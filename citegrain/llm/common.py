@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15 | 1
-SLICE = 1 << 20
-PART = 1 << 22
+SLICE = 1 << 18
+PART = 1 << 21
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,7 +41,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to PART bytes: texts may be long, and a batch lies in
     memory twice on either side."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key).rstrip("b")) <= PART:
+    known = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not known or not 0 < int(known[1]) <= PART:
         spark.conf.set(key, f"{PART}b")
 
 
@@ -199,9 +201,17 @@ def bitmap(df: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     ).toArrow()
     found = np.zeros(1 << (bits - 6), np.int64)
     found[words["at"].to_numpy()] = words["word"].to_numpy()
+    del words
+    free_arrow()
     return found.view(np.uint64)
 
 
+def free_arrow() -> None:
+    """Give memory of collected tables that are gone back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     bits = (len(words) * 64 - 1).bit_length()
     slot = values.astype(np.uint64) & np.uint64((1 << bits) - 1)

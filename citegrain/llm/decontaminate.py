@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import (
-    BASE, PLAIN, arrow_pass, bitmap, document_key, in_bitmap, joined, mix, signed, texts_of, word_hashes,
+    BASE, PLAIN, arrow_pass, bitmap, document_key, in_bitmap, joined, mix, signed, stored, texts_of,
+    word_hashes,
 )
 
 MASKS = ("1111101", "1110111", "111001011")
@@ -124,7 +125,8 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     document; a null doc_id or item_id stays null.
     """
     items = item_seeds(benchmark)
-    hits = text_seeds(documents, bitmap(items, "seed", BITS)).join(items, "seed")
+    # written, so that no task keeps a Python worker for the seeds and one for the check
+    hits = stored(text_seeds(documents, bitmap(items, "seed", BITS)).join(items, "seed"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         side = [

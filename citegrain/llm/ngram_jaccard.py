@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.llm.common import (
-    arrow_pass, bitmap, bounded_batches, components, document_key, grams, in_bitmap, joined, mix, narrow, parts_of, signed, stored,
+    arrow_pass, bitmap, bounded_batches, components, document_key, free_arrow, grams, in_bitmap, joined, mix, narrow, parts_of, signed, stored,
     texts_of, word_hashes,
 )
 
@@ -72,6 +72,8 @@ def slot_counts(documents: DataFrame) -> np.ndarray:
     rows = documents.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH, np.int64)
     counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    del rows
+    free_arrow()
     return counts
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import arrow_pass, texts_of
+from citegrain.llm.common import arrow_pass, free_arrow, texts_of
 from citegrain.llm.hashed import Scorer, sample_rows, smallest, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,7 +60,10 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 2000) -> Scorer
     )
     picked = smallest(known, "h", known.count(), max_rows).drop("h")
     rows = sample_rows(documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "label", max_rows)
-    return train(rows) if rows.num_rows and len(set(rows["y"].to_pylist())) > 1 else None
+    scorer = train(rows) if rows.num_rows and len(set(rows["y"].to_pylist())) > 1 else None
+    del rows
+    free_arrow()
+    return scorer
 
 
 def judge(documents: DataFrame, scorer: Scorer | None, least: float = 0.5) -> DataFrame:

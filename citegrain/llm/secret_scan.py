@@ -259,12 +259,15 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def digests(df: DataFrame) -> DataFrame:
     """doc_id, the base kinds' counts, base_sha256 and the spans, from the scanned secrets."""
-    found = scan(df)
+    shared = df.sparkSession.sparkContext.broadcast(SecretScanner())
     kinds = [r.kind for r in BASE_RULES]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = batch.column("secrets").to_pylist()
-        told = [[(s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in row] for row in rows]
+        scanner = shared.value
+        told = [
+            [(scanner.rules[n].kind, f"{scanner.rules[n].kind}:{a}:{b}") for a, n, b in scanner.spans(t)]
+            for t in texts_of(batch.column("text"))
+        ]
         base = [",".join(x for k, x in row if k in kinds) for row in told]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"),
@@ -275,7 +278,7 @@ def digests(df: DataFrame) -> DataFrame:
         )
 
     return arrow_pass(
-        found, step,
+        df.select("doc_id", "text"), step,
         f"doc_id {dict(df.dtypes)['doc_id']}, n_assign long, n_access long, n_hex long, "
         "base_sha256 string, spans string",
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import arrow_pass, texts_of
+from citegrain.llm.common import arrow_pass, free_arrow, stored, texts_of
 from citegrain.llm.hashed import Scorer, sample_rows, smallest, train
 from citegrain.llm.quality_rules import SYMBOLS, WORD, duplicate_lines, repeated_words
 
@@ -139,9 +139,13 @@ def fit(documents: DataFrame, max_rows: int = 2000) -> tuple[LabelModel, Scorer
         y = model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS)))
         return pa.RecordBatch.from_arrays([batch.column("text"), pa.array(y)], ["text", "y"])
 
-    rows = sample_rows(arrow_pass(picked.select("text"), label, "text string, y double"), "y", max_rows)
+    labelled = stored(arrow_pass(picked.select("text"), label, "text string, y double"))
+    rows = sample_rows(labelled, "y", max_rows)
     y = rows["y"].to_numpy()
-    return model, train(rows) if len(y) and y.min() < 0.5 <= y.max() else None
+    scorer = train(rows) if len(y) and y.min() < 0.5 <= y.max() else None
+    del rows, y
+    free_arrow()
+    return model, scorer
 
 
 def judge(documents: DataFrame, scorer: Scorer | None, least: float = 0.5) -> DataFrame:

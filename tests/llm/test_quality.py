@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citegrain.llm import hashed, quality_rules, weak_labels
 from citegrain.llm.common import word_hashes
@@ -57,6 +58,15 @@ def test_platt_brings_back_the_rate():
     assert abs(slope - 2) < 0.3 and abs(shift + 1) < 0.2
 
 
+def test_samples_are_the_smallest_hashes(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"))
+    found = [r.h for r in hashed.smallest(rows, "h", 20_000, 500).collect()]
+    everything = sorted(r.h for r in rows.collect())
+    assert 400 < len(found) <= 500 and found == everything[: len(found)]
+    assert hashed.smallest(rows.limit(10), "h", 10, 500).count() == 10
+    assert hashed.smallest(rows.limit(0), "h", 0, 500).count() == 0
+
+
 def test_em_finds_the_bad_labeller():
     chance = np.random.default_rng(3)
     truth = chance.random(20_000) < 0.8

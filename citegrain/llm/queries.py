@@ -62,7 +62,7 @@ def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = line_dedup.line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    done = line_dedup.line_dedup(table(spark, folder, "documents").select("doc_id", "text"), candidates="words")
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -6,6 +6,10 @@ every pair of thirteen aligned words with at most two substitutions. Seeds of th
 bits in a bitmap of fixed size; training words whose seeds fall on set bits are joined with the
 benchmark by the seed itself, each side with the words around it, and every hit is verified: some
 thirteen aligned words (or the whole item, where shorter) must agree in four fifths.
+
+The masks leave gaps in items under thirteen words. Such an item of n words may differ in n // 5 of
+them; cut in one part more, it keeps a whole part (pigeonhole), so its parts are seeds too. Texts
+have seeds of those lengths only that the benchmark has parts of.
 """
 
 from __future__ import annotations
@@ -27,12 +31,19 @@ SHARE = 0.8
 REACH = OVERLAP - 1
 WIDTH = REACH + SPAN + REACH
 BITS = 26
-
-
-def seeds(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds of all masks, and the word each starts at."""
-    found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for n, mask in enumerate(MASKS):
+# PARTS[n, k]: words of the part that starts at word k of an item of n words, 0 where none does.
+PARTS = np.zeros((OVERLAP, OVERLAP), np.int64)
+for _n in range(1, OVERLAP):
+    _cuts = [_n * k // (_n // 5 + 1) for k in range(_n // 5 + 2)]
+    PARTS[_n, _cuts[:-1]] = np.diff(_cuts)
+RUNS = tuple(range(1, int(PARTS.max()) + 1))
+
+
+def seeds(words: np.ndarray, owner: np.ndarray, runs: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seeds of all masks and of runs of words, the word each starts at, and its run or 0."""
+    found, places, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    kinds = [(n, mask, 0) for n, mask in enumerate(MASKS)] + [(len(MASKS) + k, "1" * k, k) for k in runs]
+    for n, mask, run in kinds:
         count = len(words) - len(mask) + 1
         if count <= 0:
             continue
@@ -43,7 +54,8 @@ def seeds(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         at = np.flatnonzero(owner[:count] == owner[len(mask) - 1 :])
         found.append(mix(total[at]))
         places.append(at)
-    return np.concatenate(found), np.concatenate(places)
+        of.append(np.full(len(at), run))
+    return np.concatenate(found), np.concatenate(places), np.concatenate(of)
 
 
 def around(words: np.ndarray, owner: np.ndarray, at: np.ndarray, blank: int) -> pa.Array:
@@ -63,33 +75,36 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_seeds(benchmark: DataFrame) -> DataFrame:
-    """(seed, item_id, item_at, length, item_words) of every seed of every item."""
+    """(seed, run, item_id, item_at, length, item_words) of every seed of every item."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, owner = _words(texts_of(batch.column("text")))
-        seed, at = seeds(words, owner)
+        seed, at, run = seeds(words, owner, RUNS)
         first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        length = np.minimum(np.diff(first), OVERLAP)[owner[at]] if len(at) else at
+        size, place = np.diff(first)[owner[at]], at - first[owner[at]]
+        part = PARTS[np.where(size < OVERLAP, size, 0), np.minimum(place, OVERLAP - 1)]
+        keep = (run == 0) | (part == run)
+        seed, at, run, length = seed[keep], at[keep], run[keep], np.minimum(size[keep], OVERLAP)
         return pa.RecordBatch.from_arrays(
-            [signed(seed), batch.column("item_id").take(pa.array(owner[at])),
+            [signed(seed), pa.array(run.astype(np.int32)), batch.column("item_id").take(pa.array(owner[at])),
              pa.array((at - first[owner[at]]).astype(np.int32)), pa.array(length.astype(np.int32)),
              around(words, owner, at, 0)],
-            ["seed", "item_id", "item_at", "length", "item_words"],
+            ["seed", "run", "item_id", "item_at", "length", "item_words"],
         )
 
     return arrow_pass(
         benchmark.select("item_id", "text"), step,
-        f"seed long, item_id {dict(benchmark.dtypes)['item_id']}, item_at int, length int, item_words binary",
+        f"seed long, run int, item_id {dict(benchmark.dtypes)['item_id']}, item_at int, length int, item_words binary",
     )
 
 
-def text_seeds(documents: DataFrame, words_of_bitmap: np.ndarray) -> DataFrame:
+def text_seeds(documents: DataFrame, words_of_bitmap: np.ndarray, runs: tuple[int, ...] = ()) -> DataFrame:
     """(doc_id, doc_key, seed, at, words) of the seeds that the bitmap lets through."""
     shared = documents.sparkSession.sparkContext.broadcast(words_of_bitmap)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, owner = _words(texts_of(batch.column("text")))
-        seed, at = seeds(words, owner)
+        seed, at, _ = seeds(words, owner, runs)
         keep = in_bitmap(shared.value, seed)
         seed, at = seed[keep], at[keep]
         first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
@@ -120,13 +135,14 @@ def agrees(ours: np.ndarray, theirs: np.ndarray, length: np.ndarray) -> np.ndarr
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, doc_key, item_id, n_hits, first_word, last_word) of each leaked pair.
 
-    Words are counted from 0 in the text. Null texts have no words; items of fewer than seven
-    words have no seed and are not looked for. Rows alike in doc_id and text count as one
+    Words are counted from 0 in the text. Null texts and items have no words and are
+    not looked for. Rows alike in doc_id and text count as one
     document; a null doc_id or item_id stays null.
     """
     items = item_seeds(benchmark)
     # written, so that no task keeps a Python worker for the seeds and one for the check
-    hits = stored(text_seeds(documents, bitmap(items, "seed", BITS)).join(items, "seed"))
+    runs = tuple(sorted(r.run for r in items.where("run > 0").select("run").distinct().collect()))
+    hits = stored(text_seeds(documents, bitmap(items, "seed", BITS), runs).join(items, "seed"))
 
     def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
         side = [
@@ -134,16 +150,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for n in ("words", "item_words")
         ]
         good = pa.array(agrees(*side, batch.column("length").to_numpy()))
-        return batch.select(["doc_id", "doc_key", "item_id", "at"]).filter(good)
+        return batch.select(["doc_id", "doc_key", "item_id", "at", "length"]).filter(good)
 
     kinds = dict(hits.dtypes)
     verified = arrow_pass(
         hits.select("doc_id", "doc_key", "item_id", "at", "length", "words", "item_words"), verify,
-        f"doc_id {kinds['doc_id']}, doc_key long, item_id {kinds['item_id']}, at int",
+        f"doc_id {kinds['doc_id']}, doc_key long, item_id {kinds['item_id']}, at int, length int",
     )
     return verified.groupBy("doc_id", "doc_key", "item_id").agg(
         F.count_distinct("at").alias("n_hits"), F.min("at").alias("first_word"),
-        (F.max("at") + SPAN - 1).alias("last_word"),
+        F.max(F.col("at") + F.least(F.lit(SPAN), "length") - 1).alias("last_word"),
     )
 
 

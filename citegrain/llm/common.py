@@ -165,6 +165,15 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/citegrain-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read back.
 
@@ -172,12 +181,43 @@ def stored(df: DataFrame) -> DataFrame:
     which checkpoint() does not: its estimates multiply from join to join. The table goes when the
     session ends.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/citegrain-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return _written(df)[0]
+
+
+class Scratch:
+    """Stored tables of one piece of work, deleted as soon as their last reader is written.
+
+    What is handed on must be written (`stored`) before the scope ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.free(*(df for df, _ in self.paths.values()))
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        found, path = _written(df)
+        self.paths[id(found)] = (found, path)
+        return found
+
+    def free(self, *tables: DataFrame) -> None:
+        """Delete tables that no plan still to be run reads, and let the shuffle files of finished
+        jobs go: Spark removes them once the JVM has collected their handles."""
+        for df in tables:
+            _, path = self.paths.pop(id(df))
+            delete(self.spark, path)
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
+
+
+def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def narrow(df: DataFrame, most: int = 1 << 22) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrain.llm import (
-    bpe, decontaminate, license_scan, line_dedup, ngram_jaccard, quality_rules, secret_scan, token_counts, url_filter, weak_labels,
+    bpe, centroids, decontaminate, license_scan, line_dedup, ngram_jaccard, quality_rules, secret_scan, simhash_tiles,
+    token_counts, url_filter, weak_labels, whitening,
 )
 from citegrain.llm.common import table
 
@@ -66,6 +67,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_tiles.near_duplicates(table(spark, folder, "documents"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -77,8 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
+    "op13_centroids": op13_centroids,
 }
 ORACLES: dict[str, str] = {
     "op6_url_filter": url_filter.oracle_sql(),
     "op9_ngram_jaccard": ngram_jaccard.oracle_sql(),
+    "op13_centroids": centroids.oracle_sql(),
 }

@@ -154,6 +154,16 @@ def _nfkc_batch(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+def folded(text: Column) -> Column:
+    """NFKC and case folding, which Spark has no built-in for."""
+    return _folded_batch(text)
+
+
+@F.pandas_udf(T.StringType())
+def _folded_batch(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC").str.casefold()
+
+
 def occurrences(text: Column, pattern: str | Column, before: int, after: int) -> Column:
     """Every match of ``pattern`` with the text around it, as an array of
     (before, match, after) structs."""

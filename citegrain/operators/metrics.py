@@ -84,6 +84,24 @@ def quality_summary(records: DataFrame, unit: str = "meaning_id", by: str | None
     )
 
 
+def quality_report(records: DataFrame) -> DataFrame:
+    """The rates overall, by split, by language and by question type.
+
+    Languages are reported output by output, all other grains over paired units.
+    """
+    def grain(name: str, rows: DataFrame, unit: str, by: str | None) -> DataFrame:
+        value = F.col(by) if by else F.lit("all")
+        found = quality_summary(rows, unit, by)
+        return found.select(F.lit(name).alias("grain"), value.alias("value"), *[c for c in found.columns if c != by])
+
+    parts = [
+        grain("overall", records, "meaning_id", None), grain("split", records, "meaning_id", "split"),
+        grain("language", records, "case_id", "language"),
+        grain("question_type", records, "meaning_id", "question_type"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def corpus_summary(records: DataFrame, unit: str = "meaning_id", by: str | None = None) -> DataFrame:
     """Counts over units of a fact-checked run; one overlapping page is a page hit."""
     keys = [by] if by else []

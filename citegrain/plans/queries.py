@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from citegrain.functions import headings, numbers, questions, text
 from citegrain.operators import (
-    answer, evidence, index, ingest, jobs, metrics, policy, retrieve, sentences, validate,
+    answer, evidence, index, ingest, inspect, jobs, metrics, policy, retrieve, sentences, validate,
 )
 from citegrain.operators.windows import ASK
-from citegrain.plans import answer as answering, corpora, oracles as sql, shared
+from citegrain.plans import answer as answering, corpora, inspections, oracles as sql, shared
 from citegrain.plans.corpora import table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -797,111 +797,122 @@ def number_claims(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- scores ----------------------------------------------------------------------------
 
-_CASES = """SELECT doc_id::VARCHAR AS case_id, source || ':' || (doc_id // 40) AS meaning_id, source AS split, lang,
-  CASE WHEN max(l.quality) OVER m = 1 THEN 'answerable' WHEN max(l.toxic) OVER m = 1 THEN 'false_premise'
-       ELSE 'unsupported' END AS answerability, n_chars, quality, toxic
-FROM documents d JOIN labels l USING (doc_id) WINDOW m AS (PARTITION BY source || ':' || (doc_id // 40))"""
-
-
-def _cases(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as benchmark cases; two documents of a source share a meaning."""
-    rows = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars").join(
-        table(spark, folder, "labels"), "doc_id"
-    )
-    meaning = F.concat_ws(":", "source", F.floor(F.col("doc_id") / 40).cast("string"))
-    kinds = rows.groupBy(meaning.alias("meaning_id")).agg(
-        F.max("quality").alias("q"), F.max("toxic").alias("t")
-    )
-    answerability = F.when(F.col("q") == 1, "answerable").when(
-        F.col("t") == 1, "false_premise"
-    ).otherwise("unsupported")
-    return rows.withColumn("meaning_id", meaning).join(kinds, "meaning_id").select(
-        F.col("doc_id").cast("string").alias("case_id"), "meaning_id", F.col("source").alias("split"),
-        "lang", answerability.alias("answerability"), "n_chars", "quality", "toxic",
-    )
-
-
-_QUALITY_RECORDS = f"""SELECT *, n_chars >= 400 AS valid, n_chars >= 1200 AS ans, n_chars BETWEEN 400 AND 1199 AS ref,
-  n_chars >= 2500 AS cited, toxic = 1 AS fallback, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS marks,
-  n_chars >= 2000 AS marked_ok FROM ({_CASES})"""
-_PAIRED = f"""WITH u AS (SELECT meaning_id, answerability AS a, split, bool_and(valid) AS valid, bool_and(ans) AS all_ans,
-  bool_or(ans) AS any_ans, bool_and(ref) AS all_ref, bool_or(ref) AS any_ref, bool_and(cited) AS cited,
-  bool_or(marks > 0) AS marked, bool_and(marked_ok) AS marks_ok, sum((NOT valid)::INT) AS invalid,
-  sum(fallback::INT) AS fb FROM ({_QUALITY_RECORDS}) GROUP BY ALL)
-SELECT coalesce(split, 'all') AS split, count(*)::BIGINT AS units, round(avg(valid::INT), 6) AS valid_final_contract_rate,
-  (count(*) FILTER (WHERE a = 'answerable'))::BIGINT AS answerable_units,
-  round(avg(all_ans::INT) FILTER (WHERE a = 'answerable'), 6) AS answerable_retention,
-  round(avg(any_ref::INT) FILTER (WHERE a = 'answerable'), 6) AS false_refusal_rate,
-  round(avg(all_ref::INT) FILTER (WHERE a = 'unsupported'), 6) AS unsupported_final_refusal_rate,
-  round(avg(all_ref::INT) FILTER (WHERE a = 'false_premise'), 6) AS false_premise_final_refusal_rate,
-  round(avg(any_ans::INT) FILTER (WHERE a <> 'answerable'), 6) AS unsupported_answer_rate,
-  round(avg(cited::INT) FILTER (WHERE a = 'answerable'), 6) AS all_required_pages_cited_rate,
-  sum(invalid)::BIGINT AS invalid_outputs, sum(fb)::BIGINT AS fallback_outputs,
-  round(avg(marks_ok::INT) FILTER (WHERE a = 'answerable' AND marked), 6) AS all_required_markers_present_rate
-FROM u GROUP BY GROUPING SETS ((), (split))"""
-
-
-@query(_PAIRED)
+@query(inspections.records_sql())
+def inspected_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """What each derived final output shows: its first broken rule, citations, markers and refusal."""
+    none = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    flags = ("valid_contract", "final_answer", "final_refusal", "all_required_pages_cited")
+    return inspections.inspected(spark, folder).select(
+        "case_id", none("error"), *flags, _r("citation_locator_recall").alias("citation_locator_recall"),
+        "fallback_used", none("abstention_source"), F.array_join("required_markers_present", "|").alias("markers"),
+        F.coalesce(F.col("all_required_markers_present").cast("string"), F.lit("")).alias("all_required_markers_present"),
+    )
+
+
+@query()
+def inspected_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """What the engine's own answers show, with the pages that repeat the passage as gold pages."""
+    found = shared.collection_search(spark, folder).evidence
+    gold = corpora.passage_gold(spark, folder).groupBy("query_id").agg(F.sort_array(F.collect_set("page")).alias("gold_pages"))
+    asks = corpora.collection_asks(spark, folder).join(gold, "query_id", "left")
+    marker = F.struct(F.lit("opening").alias("id"), F.slice(F.split("question", " "), 1, 1).alias("any_of"))
+    asked = asks.select(
+        F.col("query_id").cast("string").alias("case_id"), F.col("query_id").cast("string").alias("meaning_id"),
+        F.lit("dev").alias("split"), questions.language(F.col("question")).alias("language"),
+        F.lit("fact").alias("question_type"), F.lit("answerable").alias("answerability"), "paper_id", "question",
+        F.coalesce("gold_pages", F.array().cast("array<int>")).alias("gold_pages"), F.array(marker).alias("required_markers"),
+    )
+    # chunk ids of the collection name their source paper; the collection is the paper asked
+    scoped = F.regexp_replace("evidence_id", "^(ev-[0-9]{2}-)", f"$1{corpora.COLLECTION}-")
+    chunk = F.regexp_replace("evidence_id", "^ev-[0-9]{2}-", f"{corpora.COLLECTION}-")
+    item = F.struct(
+        scoped.alias("evidence_id"), F.col("page").cast("int").alias("page"), "text", "paper_id", chunk.alias("chunk_id"),
+        F.struct(chunk.alias("chunk_id")).alias("locator"),
+    )
+    items = found.groupBy("query_id").agg(F.collect_list(item).alias("items"))
+    payload = F.col("payload").withField(
+        "evidence_ids", F.transform(
+            "payload.evidence_ids", lambda i: F.regexp_replace(i, "^(ev-[0-9]{2}-)", f"$1{corpora.COLLECTION}-")
+        ),
+    )
+    rows = shared.collection_answers(spark, folder).outcomes.join(items, "query_id", "left").withColumn("payload", payload)
+    cited = F.filter("items", lambda e: F.array_contains(F.col("payload.evidence_ids"), e["evidence_id"]))
+    outputs = rows.select(
+        F.col("query_id").cast("string").alias("case_id"), "paper_id", F.lit(None).cast("string").alias("runtime_paper_id"),
+        questions.language(F.col("question")).alias("question_language"), F.col("question").alias("asked"),
+        F.col("payload").cast(inspect.PAYLOAD).alias("payload"),
+        F.coalesce(cited, F.array().cast(inspect.EVIDENCE)).alias("evidence"), "fallback_used",
+        F.col("reason_code").alias("abstention_source"),
+    )
+    return inspect.inspect_outputs(asked, outputs).select(
+        "case_id", "error", "valid_contract", "final_answer", "final_refusal", "all_required_pages_cited",
+        _r("citation_locator_recall").alias("citation_locator_recall"), "abstention_source", "all_required_markers_present",
+    )
+
+
+_RATES = (
+    "units", "valid_final_contract_rate", "answerable_units", "answerable_retention", "false_refusal_rate",
+    "unsupported_final_refusal_rate", "false_premise_final_refusal_rate", "unsupported_answer_rate",
+    "all_required_pages_cited_rate", "invalid_outputs", "fallback_outputs", "all_required_markers_present_rate",
+)
+
+
+def _shown_rates() -> list[Column]:
+    return [_r(c).alias(c) if c.endswith(("_rate", "retention")) else F.col(c) for c in _RATES]
+
+
+@query(f"SELECT value AS split, {', '.join(_RATES)} FROM ({inspections.summary_sql('overall', 'split')})")
 def paired_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Two-level quality rates, over all labelled documents and per source."""
-    n = F.col("n_chars")
-    records = _cases(spark, folder).select(
-        "meaning_id", "split", "answerability",
-        (n >= 400).alias("valid_contract"), (n >= 1200).alias("final_answer"),
-        n.between(400, 1199).alias("final_refusal"), (n >= 2500).alias("all_required_pages_cited"),
-        (F.col("toxic") == 1).alias("fallback_used"),
-        F.when(F.col("quality") == 1, 1).otherwise(0).alias("required_marker_count"),
-        (n >= 2000).alias("all_required_markers_present"),
-    )
-    columns = (
-        "units", "valid_final_contract_rate", "answerable_units", "answerable_retention",
-        "false_refusal_rate", "unsupported_final_refusal_rate", "false_premise_final_refusal_rate",
-        "unsupported_answer_rate", "all_required_pages_cited_rate", "invalid_outputs",
-        "fallback_outputs", "all_required_markers_present_rate",
-    )
-    shown = [_r(c).alias(c) if c.endswith("_rate") or c.endswith("retention") else F.col(c) for c in columns]
-    whole = metrics.quality_summary(records).select(F.lit("all").alias("split"), *shown)
-    return whole.unionByName(metrics.quality_summary(records, by="split").select("split", *shown))
+    """Two-level rates of the inspected outputs, over all labelled documents and per source."""
+    records = inspections.inspected(spark, folder)
+    whole = metrics.quality_summary(records).select(F.lit("all").alias("split"), *_shown_rates())
+    return whole.unionByName(metrics.quality_summary(records, by="split").select("split", *_shown_rates()))
+
+
+@query(inspections.summary_sql("overall", "split", "language", "question_type"))
+def quality_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The inspected outputs at every grain of the report."""
+    return metrics.quality_report(inspections.inspected(spark, folder)).select("grain", "value", *_shown_rates())
 
 
 @query(
-    f"""WITH u AS (SELECT meaning_id, answerability AS a, lang, bool_and(n_chars >= 800) AS all_ans, bool_or(n_chars >= 800) AS any_ans,
-  bool_and(n_chars < 800) AS all_ref, bool_and(n_chars >= 1500) AS facts, bool_and(n_chars >= 2500) AS hit,
-  sum((n_chars >= 300)::INT) AS valid, sum(toxic) AS fb, sum(n_chars / 1000.0::DOUBLE) AS wall, count(*) AS n FROM ({_CASES}) GROUP BY ALL)
-SELECT lang AS language, sum(n)::BIGINT AS language_outputs, count(*)::BIGINT AS meaning_groups, sum(valid)::BIGINT AS contract_valid,
+    inspections.FACTS + """, u AS (SELECT meaning_id, answerability AS a, language, bool_and(ans) AS all_ans, bool_or(ans) AS any_ans,
+  bool_and(ref) AS all_ref, bool_and(ans AND hits = 2) AS facts, bool_and(ans AND len(list_intersect(pages, gold)) > 0) AS hit,
+  sum(valid::INT) AS valid, sum(fallback::INT) AS fb, sum(CASE WHEN n % 23 = 3 THEN 0 ELSE length(text) / 1000.0::DOUBLE END) AS wall,
+  count(*) AS n FROM fact GROUP BY ALL)
+SELECT language, sum(n)::BIGINT AS language_outputs, count(*)::BIGINT AS meaning_groups, sum(valid)::BIGINT AS contract_valid,
   (count(*) FILTER (WHERE a = 'answerable' AND all_ans))::BIGINT AS answerable_retained,
   (count(*) FILTER (WHERE a = 'answerable' AND facts))::BIGINT AS all_fact_aliases,
   (count(*) FILTER (WHERE a = 'answerable' AND hit))::BIGINT AS acceptable_source_page_hit,
   (count(*) FILTER (WHERE a <> 'answerable' AND any_ans))::BIGINT AS negative_answers,
   (count(*) FILTER (WHERE a = 'unsupported' AND all_ref))::BIGINT AS unsupported_refused,
-  sum(fb)::BIGINT AS fallback_outputs, round(sum(wall) / sum(n), 6) AS mean_wall_seconds FROM u GROUP BY lang"""
+  (count(*) FILTER (WHERE a = 'false_premise' AND all_ref))::BIGINT AS false_premise_refused,
+  sum(fb)::BIGINT AS fallback_outputs, round(sum(wall) / sum(n), 6) AS mean_wall_seconds FROM u GROUP BY language"""
 )
 def corpus_summary(spark: SparkSession, folder: str) -> DataFrame:
-    n = F.col("n_chars")
-    records = _cases(spark, folder).select(
-        "meaning_id", "answerability", F.col("lang").alias("language"),
-        (n >= 300).alias("contract_valid"), (n >= 800).alias("answered"), (n < 800).alias("refused"),
-        (n >= 1500).alias("all_fact_aliases"), (n >= 2500).alias("acceptable_source_page_hit"),
-        (F.col("toxic") == 1).alias("fallback_used"), (n / 1000.0).alias("wall_seconds"),
-    )
-    return metrics.corpus_summary(records, by="language").select(
+    """Fact aliases, page hits and refusals of the inspected outputs, by language."""
+    return metrics.corpus_summary(inspections.facts(spark, folder), by="language").select(
         "language", "language_outputs", "meaning_groups", "contract_valid", "answerable_retained",
         "all_fact_aliases", "acceptable_source_page_hit", "negative_answers", "unsupported_refused",
-        "fallback_outputs", _r("mean_wall_seconds").alias("mean_wall_seconds"),
+        "false_premise_refused", "fallback_outputs", _r("mean_wall_seconds").alias("mean_wall_seconds"),
     )
 
 
 @query(
-    """SELECT source AS split, count(*)::BIGINT AS total, sum(((n_chars >= 1000) = (quality = 1))::INT)::BIGINT AS correct,
-  round(avg(((n_chars >= 1000) = (quality = 1))::INT), 6) AS accuracy
-FROM documents JOIN labels USING (doc_id) GROUP BY source"""
+    inspections.INSPECTED + """SELECT source AS split, count(*)::BIGINT AS total, sum((ok)::INT)::BIGINT AS correct,
+  round(avg((ok)::INT), 6) AS accuracy FROM (SELECT *, CASE WHEN answerability = 'answerable' THEN ans ELSE ref END AS ok FROM told)
+GROUP BY source"""
 )
 def abstention_summary(spark: SparkSession, folder: str) -> DataFrame:
-    side = lambda test: F.when(test, "sufficient").otherwise("insufficient")
-    rows = _cases(spark, folder).select(
-        "split", side(F.col("quality") == 1).alias("expected"), side(F.col("n_chars") >= 1000).alias("actual")
-    )
-    return metrics.abstention_summary(rows).withColumn("accuracy", _r("accuracy"))
+    """Whether answerable and unsupported cases together were answered or refused as they should be."""
+    rows = inspections.inspected(spark, folder)
+    side = F.when(F.col("final_answer"), "sufficient").when(F.col("final_refusal"), "insufficient").otherwise("invalid")
+    judged = lambda test, expected: rows.where(test).select(
+        "split", F.lit(expected).alias("expected"), side.alias("actual")
+    )
+    answerable = F.col("answerability") == "answerable"
+    both = judged(answerable, "sufficient").unionByName(judged(~answerable, "insufficient"))
+    return metrics.abstention_summary(both).withColumn("accuracy", _r("accuracy"))
 
 
 @query(

@@ -21,14 +21,6 @@ FOLLOWS = {
 # ---------------------------------------------------------------------------------------
 
 
-def latest_state(events: DataFrame, key: str = "paper_id", tie: str | None = None) -> DataFrame:
-    """Last status of each job by time; partial aggregation keeps one row per key."""
-    at = F.struct("at", tie) if tie else F.struct("at")
-    return events.groupBy(key).agg(
-        F.max_by("status", at).alias("status"), F.max("at").alias("updated_at")
-    )
-
-
 def status_counts(states: DataFrame) -> DataFrame:
     """One row with a count for each of the four statuses."""
     return states.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions import headings, numbers, questions, text
 from citegrain.operators import (
-    answer, evidence, index, ingest, inspect, jobs, metrics, policy, retrieve, sentences, validate,
+    answer, evidence, index, ingest, inspect, jobs, metrics, policy, retrieve, sentences, state_maps, validate,
 )
 from citegrain.operators.windows import ASK
 from citegrain.plans import answer as answering, corpora, inspections, oracles as sql, shared
@@ -1054,13 +1054,39 @@ def _job_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_LATEST = f"""SELECT user_id AS paper_id, arg_max(s, (ts, event_id)) AS status FROM (SELECT *, {_STATUS} AS s FROM events)
-GROUP BY user_id"""
+# Each user's events in order, folded by the state machine from the state without a job.
+_FOLDED = f"""(SELECT user_id, j.s AS status, j.legal AS legal, j.illegal AS illegal, j.updated AS updated, j.queued AS queued,
+    j.started AS started FROM (SELECT user_id, list_reduce(
+    list_prepend({{'s': 'absent', 'legal': 0, 'illegal': 0, 'updated': NULL::TIMESTAMP, 'queued': NULL::TIMESTAMP, 'started': NULL::TIMESTAMP}},
+      list({{'s': s, 'legal': 0, 'illegal': 0, 'updated': ts, 'queued': ts, 'started': ts}} ORDER BY ts, event_id)),
+    lambda a, e: CASE WHEN (e.s = 'queued' AND a.s IN ('absent', 'failed')) OR (e.s = 'running' AND a.s = 'queued')
+        OR (e.s IN ('completed', 'failed') AND a.s = 'running')
+      THEN {{'s': e.s, 'legal': a.legal + 1, 'illegal': a.illegal, 'updated': e.updated,
+             'queued': CASE WHEN e.s = 'queued' THEN e.queued ELSE a.queued END,
+             'started': CASE WHEN e.s = 'queued' THEN NULL WHEN e.s = 'running' THEN e.started ELSE a.started END}}
+      ELSE {{'s': a.s, 'legal': a.legal, 'illegal': a.illegal + 1, 'updated': a.updated, 'queued': a.queued, 'started': a.started}} END) AS j
+  FROM (SELECT *, coalesce({_STATUS}, '') AS s FROM events) GROUP BY user_id))"""
+_LATEST = f"SELECT user_id AS paper_id, status FROM {_FOLDED} WHERE status <> 'absent'"
+
+
+@query(
+    f"""SELECT user_id AS paper_id, CASE WHEN status <> 'absent' THEN status ELSE '' END AS status, legal::BIGINT AS legal,
+  illegal::BIGINT AS illegal, coalesce(epoch_us(updated), 0) AS updated, coalesce(epoch_us(queued), 0) AS queued,
+  coalesce(epoch_us(started), 0) AS started FROM {_FOLDED}"""
+)
+def job_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every job after its whole event log, with the events that the state machine let through and refused."""
+    found = state_maps.folded(_job_events(spark, folder), tie="event_id")
+    time = lambda c: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0))
+    return found.select(
+        "paper_id", F.coalesce("status", F.lit("")).alias("status"), "legal", "illegal",
+        time("updated_at").alias("updated"), time("queued_at").alias("queued"), time("started_at").alias("started"),
+    )
 
 
 @query(_LATEST)
 def job_latest_state(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.latest_state(_job_events(spark, folder), tie="event_id").select("paper_id", "status")
+    return state_maps.latest_state(_job_events(spark, folder), tie="event_id").select("paper_id", "status")
 
 
 @query(
@@ -1068,7 +1094,7 @@ def job_latest_state(spark: SparkSession, folder: str) -> DataFrame:
   sum((status = 'completed')::INT)::BIGINT AS completed, sum((status = 'failed')::INT)::BIGINT AS failed FROM ({_LATEST})"""
 )
 def job_status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.status_counts(jobs.latest_state(_job_events(spark, folder), tie="event_id"))
+    return jobs.status_counts(state_maps.latest_state(_job_events(spark, folder), tie="event_id"))
 
 
 # Chunks and pages derived from the documents, each rule broken by some.

@@ -265,31 +265,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges, so chains shrink geometrically and a hub of any size is settled in one round. All rounds
     are shuffled aggregations and joins.
     """
-    live = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
-    roots: DataFrame | None = None
-    while not live.isEmpty():
-        both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        best = stored(best)
-        for _ in range(2):
-            jump = best.select(F.col("a").alias("m"), F.col("m").alias("m2"))
-            best = best.join(jump, "m", "left").select("a", F.coalesce("m2", "m").alias("m"))
-        best = stored(best)
-        if roots is None:
-            roots = best.select(F.col("a").alias("node"), F.col("m").alias("root"))
-        else:
-            step = best.select(F.col("a").alias("root"), "m")
-            roots = stored(
-                roots.join(step, "root", "left").select("node", F.coalesce("m", "root").alias("root"))
+    with Scratch(edges.sparkSession) as tables:
+        live = tables.keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+        roots: DataFrame | None = None
+        while not live.isEmpty():
+            both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            best = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            nearest = tables.keep(best)
+            best = nearest
+            for _ in range(2):
+                jump = best.select(F.col("a").alias("m"), F.col("m").alias("m2"))
+                best = best.join(jump, "m", "left").select("a", F.coalesce("m2", "m").alias("m"))
+            best = tables.keep(best)
+            tables.free(nearest)
+            if roots is None:
+                roots = tables.keep(best.select(F.col("a").alias("node"), F.col("m").alias("root")))
+            else:
+                step = best.select(F.col("a").alias("root"), "m")
+                before, roots = roots, tables.keep(
+                    roots.join(step, "root", "left").select("node", F.coalesce("m", "root").alias("root"))
+                )
+                tables.free(before)
+            to_a, to_b = best.toDF("a", "na"), best.toDF("b", "nb")
+            before, live = live, tables.keep(
+                live.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+                .where("a <> b").distinct()
             )
-        to_a, to_b = best.toDF("a", "na"), best.toDF("b", "nb")
-        live = stored(
-            live.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-            .where("a <> b").distinct()
-        )
-    if roots is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots
+            tables.free(before, best)
+        if roots is None:
+            return live.sparkSession.createDataFrame([], live.schema).toDF("node", "root")
+        return stored(roots)
 
 
 def document_key(text: Column, doc_id: Column) -> Column:

@@ -125,29 +125,28 @@ def lines_corpus(seed=1):
     return rows + [(None, rows[0][1]), (4, rows[4][1]), (500, None), (501, ""), (502, "y " * 30_000), (503, "Y, " * 29_000)]
 
 
-def hamming_links(rows):
-    """Classes of lines, and the links between them that the pigeonhole promises."""
+def block_links(rows):
+    """Classes of lines, and the links between those that share the SimHash of a segment."""
     lines = sorted({tuple(brute.plain_words(x)) for _, t in rows for x in (t or "").split("\n")} - {()})
     made = line_dedup.Lines([" ".join(x) for x in lines])
-    long = [k for k, x in enumerate(lines) if len(x) >= line_dedup.MIN_WORDS]
-    prints = made.simhashes(np.array(long))
-    links, blocks = [], prints.view(np.uint32)
-    for i in range(len(long)):
-        away = np.bitwise_count(prints[i] ^ prints).sum(axis=1)
-        shared = (blocks[i] == blocks).any(axis=1)
-        assert shared[away <= 3].all()
-        for j in np.flatnonzero(shared):
-            a, b = lines[long[i]], lines[long[j]]
+    prints, blocks, of = made.prints()
+    held = [set(blocks[of == k].tolist()) if len(x) >= line_dedup.LEAST_WORDS else set() for k, x in enumerate(lines)]
+    links = []
+    for i, a in enumerate(lines):
+        away = np.bitwise_count(prints[i] ^ prints)
+        for j in range(i):
+            b = lines[j]
             longest = max(len(a), len(b))
-            if i < j and (longest > 5000 or longest - brute.edit_distance(a, b) >= 0.8 * longest):
-                links.append((a, b))
+            if held[i] & held[j] and away[j] <= line_dedup.RADIUS and min(len(a), len(b)) >= 0.8 * longest:
+                if longest > 5000 or longest - brute.edit_distance(a, b) >= 0.8 * longest:
+                    links.append((a, b))
     return lines, links
 
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_lines_against_all_pairs(spark, seed):
     rows = lines_corpus(seed)
-    lines, links = hamming_links(rows)
+    lines, links = block_links(rows)
     assert any(a != b for a, b in links)
     union = brute.Union()
     for a, b in links:
@@ -184,16 +183,45 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == brute.edit_distance(a, b)
 
 
-def test_simhash_is_the_majority_of_bits():
-    line = " ".join(f"v{k % 37}" for k in range(70_000))
-    made = line_dedup.Lines([line + "\nshort one of five words\n\nlast", "other\r\ntext"])
-    assert made.number.tolist() == [0, 1, 3, 0, 1] and made.text.tolist() == [0, 0, 0, 1, 1]
-    for row in (0, 1):
-        words = made.words[made.first[row] : made.last[row]]
-        halves = np.column_stack([words, common.mix(words + np.uint64(common.BASE))])
-        weights = made.weights[made.first[row] : made.last[row]].astype(np.int64)
-        bits = weights @ np.unpackbits(halves.view(np.uint8), axis=1).astype(np.int64)
-        assert (made.simhashes(np.array([row]))[0].view(np.uint8) == np.packbits(2 * bits > weights.sum())).all()
+def test_simhashes_are_the_majority_of_bits(monkeypatch):
+    """Of whole lines and of their segments, whatever the chunks that words are counted in."""
+    chance = random.Random(8)
+    line = " ".join(f"v{chance.randrange(37)}" for _ in range(20_000))
+    texts = [line + "\nshort one of five words\n\nlast", "other\r\ntext", "y " * 9000]
+    majority = lambda words: int("".join(str(int(2 * c > len(words))) for c in np.unpackbits(
+        words.view(np.uint8).reshape(-1, 8), axis=1).sum(0)), 2).to_bytes(8, "big")
+    for chunk in (1 << 15, 100):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        made = line_dedup.Lines(texts)
+        assert made.number.tolist() == [0, 1, 3, 0, 1, 0] and made.text.tolist() == [0, 0, 0, 1, 1, 2]
+        prints, blocks, of = made.prints()
+        cuts = made.cuts()
+        segments = np.split(made.words, cuts[1:])
+        for row in range(len(made.first)):
+            words = made.words[made.first[row] : made.last[row]]
+            assert prints[row].tobytes() == majority(words)
+            own = [s for s, c in zip(segments, cuts) if made.first[row] <= c < made.last[row]]
+            assert sum(map(len, own)) == len(words)
+            longest = sorted({(-len(s), int.from_bytes(majority(s), "little")) for s in own})
+            seen, expected = set(), []
+            for _, value in longest:
+                expected += [value] if value not in seen else []
+                seen.add(value)
+            assert set(blocks[of == row].tolist()) <= set(expected)
+            assert len(blocks[of == row]) <= line_dedup.SEGMENTS and (len(blocks[of == row]) == min(line_dedup.SEGMENTS, len(expected)) or len(seen) < len(longest))
+
+
+def test_an_edit_leaves_the_other_segments():
+    chance = random.Random(9)
+    kept = 0
+    for _ in range(300):
+        words = [f"w{chance.randrange(10**6)}" for _ in range(chance.randint(12, 60))]
+        edited = [*words]
+        edited[chance.randrange(len(words))] = "edited"
+        made = line_dedup.Lines([" ".join(words), " ".join(edited)])
+        _, blocks, of = made.prints()
+        kept += bool(set(blocks[of == 0].tolist()) & set(blocks[of == 1].tolist()))
+    assert kept >= 297
 
 
 # pipeline

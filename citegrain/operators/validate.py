@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.questions import language
+from citegrain.functions.text import folded, squeeze
 
 
 def _tagged(df: DataFrame, rule: str, key: str) -> DataFrame:
@@ -89,6 +90,49 @@ def key_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return _tagged(missing, "missing", key).unionByName(_tagged(extra, "extra", key))
 
 
+def incomplete_keys(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """Keys that are not exactly once in every source: a set-equality join of any number of tables.
+
+    One shuffle of narrow rows; counts are taken before it, so a key that is repeated without end is
+    a few rows. Each key comes back with the sources that lack it and those that repeat it.
+    """
+    names = list(sources)
+    counted = _union([
+        df.select(F.col(key).alias(key), *[F.lit(int(n == name)).cast("long").alias(n) for n in names])
+        for name, df in sources.items()
+    ]).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+    told = lambda test: F.array_compact(F.array(*[F.when(test(F.col(n)), F.lit(n)) for n in names]))
+    return counted.select(
+        key, told(lambda c: c == 0).alias("missing"), told(lambda c: c > 1).alias("repeated")
+    ).where((F.size("missing") > 0) | (F.size("repeated") > 0))
+
+
+def map_violations(pairs: DataFrame, a: str, b: str, domain: DataFrame) -> DataFrame:
+    """What keeps pairs from being a one-to-one map of exactly the domain's ``a`` values."""
+    several = lambda x, y: pairs.groupBy(x).agg(F.count_distinct(y).alias("n")).where("n > 1")
+    nothing = pairs.where(F.col(b).isNull() | ~F.coalesce(F.col(b).cast("string").rlike(r"(?U)\S"), F.lit(False)))
+    return _union([
+        _tagged(several(a, b), "several_targets", a), _tagged(several(b, a), "shared_target", b),
+        _tagged(nothing.select(a).distinct(), "no_target", a), key_differences(domain, pairs, a),
+    ])
+
+
+def same_when_folded(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """Texts that are alike after NFKC, case folding and squeezing, told by their least key.
+
+    duplicate_text: more than one row; leak_text: in more than one split. Only hashes of the folded
+    texts are shuffled, with counts taken before.
+    """
+    known = rows.withColumn("_folded", F.sha2(squeeze(folded(F.col(text))), 256))
+    seen = known.groupBy("_folded").agg(
+        F.min(key).alias("id"), F.count("*").alias("rows"), F.min("split").alias("low"), F.max("split").alias("high")
+    )
+    broken = F.array_compact(F.array(
+        F.when(F.col("rows") > 1, "duplicate_text"), F.when(F.col("low") != F.col("high"), "leak_text")
+    ))
+    return seen.select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("id"))
+
+
 def changed_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Added, removed and changed keys between two versions of a table."""
     fields = [c for c in before.columns if c != key]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions import headings, numbers, questions, text
 from citegrain.operators import (
-    answer, evidence, index, ingest, inspect, jobs, memory, metrics, policy, retrieve, sentences, state_maps, validate,
+    answer, compare, evidence, index, ingest, inspect, jobs, memory, metrics, policy, retrieve, sentences, state_maps, validate,
 )
 from citegrain.operators.windows import ASK
 from citegrain.plans import answer as answering, corpora, inspections, oracles as sql, shared
@@ -536,6 +536,93 @@ def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SIDES = """sides AS (SELECT query_id, paper_id, chunk_id, max(CASE WHEN side = 'old' THEN rank END) AS o,
+    max(CASE WHEN side = 'new' THEN rank END) AS n
+  FROM (SELECT 'old' AS side, query_id, paper_id, chunk_id, rank FROM b20 WHERE rank <= 5
+        UNION ALL SELECT 'new', query_id, paper_id, chunk_id, rank FROM fused WHERE rank <= 5) GROUP BY ALL),
+changed AS (SELECT *, CASE WHEN n IS NULL THEN 'lost' WHEN o IS NULL THEN 'gained' WHEN o <> n THEN 'moved' ELSE 'kept' END AS change
+  FROM sides)"""
+
+
+@query(
+    sql.COLLECTION + "," + sql.pool_ctes() + "," + _SIDES
+    + " SELECT query_id, chunk_id, coalesce(o, 0)::BIGINT AS old_rank, coalesce(n, 0)::BIGINT AS new_rank, change FROM changed"
+)
+def policy_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """What fusion puts into, takes out of and moves within the first five of BM25 alone."""
+    found = _policies(spark, folder)
+    rank = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return found.select("query_id", "chunk_id", rank("old_rank"), rank("new_rank"), "change")
+
+
+@query(
+    sql.COLLECTION + "," + sql.pool_ctes() + "," + _SIDES
+    + """, q AS (SELECT query_id, count(*) FILTER (WHERE change = 'lost') AS lost, count(*) FILTER (WHERE change = 'gained') AS gained,
+    count(*) FILTER (WHERE change = 'moved') AS moved, count(*) FILTER (WHERE change = 'kept') AS kept,
+    max((o = 1 AND n = 1)::INT) AS first, count(*) AS items FROM changed GROUP BY query_id)
+SELECT 'bm25' AS before, 'fused' AS after, count(*)::BIGINT AS questions, (count(*) FILTER (WHERE kept < items))::BIGINT AS changed,
+  sum(lost)::BIGINT AS lost, sum(gained)::BIGINT AS gained, sum(moved)::BIGINT AS moved, sum(kept)::BIGINT AS kept,
+  sum(coalesce(first, 0))::BIGINT AS same_first, round(avg((kept + moved) * 1.0::DOUBLE / items), 6) AS mean_overlap FROM q"""
+)
+def policy_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return compare.run_comparison(_policies(spark, folder), ("bm25", "fused")).withColumn("mean_overlap", _r("mean_overlap"))
+
+
+def _policies(spark: SparkSession, folder: str) -> DataFrame:
+    found = shared.collection_search(spark, folder)
+    return compare.ranked_changes(found.bm25, found.pool)
+
+
+_GATES = {"questions": 40, "recall_at_5": 0.5, "recall_at_10": 0.999, "mrr": 0.3, "lost_top5": 2}
+
+
+@query(
+    sql.COLLECTION + "," + sql.selection_ctes() + "," + _GOLD + "," + _PAGES10
+    + """, ranks AS (SELECT g.query_id, min(rank) AS r FROM gold g LEFT JOIN pages10 p
+    ON p.query_id = g.query_id AND p.page = g.page GROUP BY ALL),
+s AS (SELECT count(*)::DOUBLE AS questions, avg(coalesce((r <= 5)::INT, 0)) AS r5, avg(coalesce((r <= 10)::INT, 0)) AS r10,
+    avg(coalesce(1.0::DOUBLE / r, 0)) AS mrr, (count(*) FILTER (WHERE coalesce(r > 5, true)))::DOUBLE AS lost FROM ranks),
+held AS (SELECT avg((c = 20 AND len(sel) = 5)::INT) AS share FROM chosen
+  LEFT JOIN (SELECT query_id, count(*) AS c FROM reranked WHERE new_rank <= 20 GROUP BY ALL) USING (query_id)),
+g AS (SELECT unnest(['questions', 'recall_at_5', 'recall_at_10', 'mrr', 'lost_top5']) AS gate,
+  unnest([questions, r5, r10, mrr, lost]) AS value, unnest("""
+    + str([float(v) for v in _GATES.values()])
+    + """) AS threshold FROM s UNION ALL SELECT 'contract', share, 1.0 FROM held)
+SELECT gate, round(value, 6) AS value, threshold::DOUBLE AS threshold,
+  CASE gate WHEN 'lost_top5' THEN value <= threshold ELSE value >= threshold END AS passed FROM g"""
+)
+def frozen_gates(spark: SparkSession, folder: str) -> DataFrame:
+    """The gates of the retrieval run over the benchmark questions, as rows."""
+    found = shared.collection_search(spark, folder)
+    pages = retrieve.unique_candidate_pages(found.candidates, 10).withColumnRenamed("page_rank", "rank")
+    ranked = metrics.gold_ranks(pages, corpora.passage_gold(spark, folder))
+    return compare.retrieval_gates(ranked, _contracts(spark, folder), _GATES).withColumn("value", _r("value"))
+
+
+def _contracts(spark: SparkSession, folder: str) -> DataFrame:
+    found = shared.collection_search(spark, folder)
+    asks = corpora.collection_asks(spark, folder).withColumn("language", questions.language(F.col("question")))
+    return compare.contracts(found.candidates, found.evidence, asks)
+
+
+@query(
+    sql.PER_CONVERSATION + "," + sql.guarded_ctes()
+    + """, c AS (SELECT a.query_id, count(g.chunk_id) AS n FROM ask a LEFT JOIN guarded g USING (query_id, paper_id) GROUP BY 1)
+SELECT 'all' AS language, count(*)::BIGINT AS questions, (count(*) FILTER (WHERE n = 20))::BIGINT AS full_pools,
+  min(n)::BIGINT AS least_candidates FROM c UNION ALL
+SELECT 'en', count(*)::BIGINT, (count(*) FILTER (WHERE n = 20))::BIGINT, min(n)::BIGINT FROM c"""
+)
+def smoke_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The smoke run over all conversation questions: how many found a full pool, by language."""
+    found = shared.conversation_search(spark, folder)
+    asks = corpora.conversation_asks(spark, folder).withColumn("language", questions.language(F.col("question")))
+    rows = compare.contracts(found.candidates, found.evidence, asks)
+    told = compare.smoke_summary(rows.withColumn("complete", F.col("candidates") == compare.CANDIDATES))
+    return told.select(
+        F.coalesce("language", F.lit("all")).alias("language"), "questions", F.col("passed").alias("full_pools"), *_long("least_candidates")
+    )
+
+
 # --- evidence --------------------------------------------------------------------------
 
 
@@ -1265,6 +1352,67 @@ def unlabelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Papers mapped to run-time ids; some share one, some have two, one in a while has none.
+_MAP = """SELECT source, CASE WHEN doc_id % 40 = 7 THEN NULL WHEN doc_id % 40 = 9 THEN 'run-shared' ELSE 'run-' || source END AS run_id
+FROM documents WHERE source <> 'src0' UNION ALL SELECT 'stranger', 'run-stranger'"""
+
+
+@query(
+    f"""WITH m AS ({_MAP})
+SELECT 'several_targets' AS rule, source AS id FROM m GROUP BY source HAVING count(DISTINCT run_id) > 1
+UNION ALL SELECT 'shared_target', run_id FROM m GROUP BY run_id HAVING count(DISTINCT source) > 1
+UNION ALL SELECT DISTINCT 'no_target', source FROM m WHERE run_id IS NULL
+UNION ALL SELECT DISTINCT 'missing', source FROM documents WHERE source NOT IN (SELECT source FROM m)
+UNION ALL SELECT DISTINCT 'extra', source FROM m WHERE source NOT IN (SELECT source FROM documents)"""
+)
+def paper_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether run-time ids map the papers one to one, all of them and no other."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    n = F.col("doc_id") % 40
+    run = F.when(n == 7, None).when(n == 9, "run-shared").otherwise(F.concat(F.lit("run-"), "source"))
+    stranger = spark.createDataFrame([("stranger", "run-stranger")], "source string, run_id string")
+    pairs = docs.where("source <> 'src0'").select("source", run.alias("run_id")).unionByName(stranger)
+    return validate.map_violations(pairs, "source", "run_id", docs)
+
+
+@query(
+    """WITH k AS (SELECT doc_id, 'manifest' AS t FROM documents UNION ALL SELECT doc_id, 'labels' FROM labels
+  UNION ALL SELECT doc_id + CASE WHEN doc_id % 50 = 3 THEN 1 ELSE 0 END, 'outputs' FROM documents),
+c AS (SELECT doc_id, [n for n in ['manifest', 'labels', 'outputs']] AS names, list(t) AS ts FROM k GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_filter(names, lambda x: NOT list_contains(ts, x)), '|') AS missing,
+  array_to_string(list_filter(names, lambda x: len(list_filter(ts, lambda t: t = x)) > 1), '|') AS repeated FROM c
+WHERE len(ts) <> 3 OR len(list_distinct(ts)) <> 3"""
+)
+def review_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are not exactly once in manifest, labels and outputs; some outputs carry a wrong id."""
+    docs = table(spark, folder, "documents").select("doc_id")
+    outputs = docs.select((F.col("doc_id") + F.when(F.col("doc_id") % 50 == 3, 1).otherwise(0)).alias("doc_id"))
+    found = validate.incomplete_keys(
+        {"manifest": docs, "labels": table(spark, folder, "labels"), "outputs": outputs}, "doc_id"
+    )
+    return found.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("missing", "repeated")])
+
+
+@query(
+    r"""WITH r AS (SELECT doc_id, source AS split, CASE WHEN NOT regexp_matches(text, '[^\x00-\x7F]') AND doc_id % 3 = 0 THEN upper(text)
+    WHEN doc_id % 3 = 1 THEN '  ' || replace(text, ' ', '  ') ELSE text END AS text FROM documents),
+f AS (SELECT min(doc_id) AS id, count(*) AS n, count(DISTINCT split) AS s
+  FROM r GROUP BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')))
+SELECT 'duplicate_text' AS rule, id::VARCHAR AS id FROM f WHERE n > 1 UNION ALL SELECT 'leak_text', id::VARCHAR FROM f WHERE s > 1"""
+)
+def folded_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents alike but for case and blanks, and those that leak between sources."""
+    n = F.col("doc_id") % 3
+    changed = (
+        F.when(~F.col("text").rlike(r"[^\x00-\x7F]") & (n == 0), F.upper("text"))
+        .when(n == 1, F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("  ")))).otherwise(F.col("text"))
+    )
+    rows = texts(spark, folder, "documents", "doc_id", "source", "text").select(
+        "doc_id", F.col("source").alias("split"), changed.alias("text")
+    )
+    return validate.same_when_folded(rows, "text", "doc_id")
+
+
 @query(
     """SELECT 'leak_digest' AS rule, md5(text) AS id FROM documents GROUP BY md5(text) HAVING count(DISTINCT source) > 1"""
 )

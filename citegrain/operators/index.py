@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrain.functions.text import tokens
-from citegrain.session import spread
+from citegrain.session import checkpoint, spread
 
 # --- fixed values: the Okapi weighting -------------------------------------------------
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
@@ -152,6 +152,39 @@ def fingerprint(chunks: DataFrame) -> DataFrame:
     return summed.select("paper_id", F.sha2(F.concat_ws(":", *parts), 256).alias("fingerprint"), "chunks")
 
 
+# a stored vector is found by its encoder and its very text, whatever chunk carries it
+VECTOR_KEY = ("encoder", "text_sha")
+
+
+@dataclass(frozen=True)
+class VectorBuild:
+    """Chunks with ``vector`` and ``provenance`` (stored, encoded), and what to append to the store."""
+
+    vectors: DataFrame
+    additions: DataFrame
+
+
+def build_vectors(
+    chunks: DataFrame, store: DataFrame | None, encoder_name: str, encoder: Encoder | None = None
+) -> VectorBuild:
+    """Vectors of all chunks: those of known texts from the store, each other text encoded once.
+
+    The store is keyed by the encoder's fingerprint and the SHA-256 of the text, so a renamed chunk
+    costs nothing, a changed one is encoded, and another encoder finds nothing.
+    """
+    keyed = chunks.withColumns({"encoder": F.lit(encoder_name), "text_sha": F.sha2("text", 256)})
+    if store is None:
+        store = encode_passages(keyed.limit(0), encoder).select(*VECTOR_KEY, "vector")
+    # an entry appended twice is one entry
+    stored = store.where(F.col("encoder") == encoder_name).dropDuplicates(list(VECTOR_KEY))
+    unknown = keyed.join(stored.select(*VECTOR_KEY), list(VECTOR_KEY), "left_anti")
+    texts = unknown.select(*VECTOR_KEY, "text").dropDuplicates(list(VECTOR_KEY))
+    fresh = checkpoint(encode_passages(texts, encoder).select(*VECTOR_KEY, "vector"))
+    tagged = lambda df, name: df.select(*VECTOR_KEY, "vector", F.lit(name).alias("provenance"))
+    known = tagged(stored, "stored").unionByName(tagged(fresh, "encoded"))
+    return VectorBuild(keyed.join(known, list(VECTOR_KEY)), fresh)
+
+
 def missing_vectors(
     chunks: DataFrame, cache: DataFrame, model: str, encoder: Encoder | None = None
 ) -> DataFrame:

@@ -168,13 +168,18 @@ def dense_pages(
     question_block: int = 1024,
 ) -> DataFrame:
     """Unique pages by their best chunk; of equal chunks the smaller id stands for the
-    page, of equal pages the smaller number leads."""
+    page, of equal pages the smaller number leads.
+
+    With ``k`` a block emits no more than its own first ``k`` pages: a page that leads k others by
+    its best chunk leads them in the block of that chunk as well, so none of the first ``k`` of all
+    is lost and what is shuffled does not grow with the pages.
+    """
     pairs = _blocks(vectors, questions, ["chunk_id", "page"], chunk_block, question_block)
     schema = (
         f"{_ddl(questions, 'query_id')}, {_ddl(vectors, 'paper_id', 'chunk_id', 'page')}, "
         "score double"
     )
-    partial = pairs.applyInPandas(_block_winners(_first_per_page), schema)
+    partial = pairs.applyInPandas(_block_winners(lambda scores, own: _first_per_page(scores, own, k)), schema)
     return rank_pages(partial, k)
 
 
@@ -184,15 +189,21 @@ def _first(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
 
 
-def _first_per_page(scores: np.ndarray, chunks: pd.DataFrame) -> np.ndarray:
+def _first_per_page(scores: np.ndarray, chunks: pd.DataFrame, k: int | None = None) -> np.ndarray:
+    """Columns of the best chunk of each page per row; of the ``k`` best pages where k is given."""
     rounded = np.round(scores, 9)
     pages = chunks["page"].to_numpy()
-    return np.stack(
+    best = np.stack(
         [own[rounded[:, own].argmax(axis=1)] for own in (
             np.flatnonzero(pages == page) for page in np.unique(pages)
         )],
         axis=1,
     )
+    if k is None or best.shape[1] <= k:
+        return best
+    # pages lie in order, so a stable sort breaks ties by page
+    order = np.argsort(-np.take_along_axis(rounded, best, axis=1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(best, order, axis=1)
 
 
 def _block_winners(choose: Callable[[np.ndarray, pd.DataFrame], np.ndarray]):

@@ -425,6 +425,45 @@ def dense_pages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, p.vec_id // 4 AS page, {_DOT} AS score FROM embeddings q, embeddings p),
+b AS (SELECT query_id, page, arg_min(chunk_id, (-round(score, 9), chunk_id)) AS chunk_id, max(round(score, 9)) AS best FROM s GROUP BY ALL)
+SELECT query_id, page::BIGINT AS page, chunk_id, round(best, 6) AS score, row_number() OVER w AS rank FROM b
+WINDOW w AS (PARTITION BY query_id ORDER BY best DESC, page) QUALIFY row_number() OVER w <= 20"""
+)
+def dense_pages_top20(spark: SparkSession, folder: str) -> DataFrame:
+    """The first twenty pages of every stored vector; four consecutive vectors are a page."""
+    rows = table(spark, folder, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), F.lit("all").alias("paper_id"),
+        F.floor(F.col("vec_id") / 4).cast("int").alias("page"), F.col("embedding").alias("vector"),
+    )
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "paper_id", "vector")
+    return retrieve.dense_pages(rows, asked, 20).select(
+        "query_id", *_long("page"), "chunk_id", _r("score").alias("score"), *_long("rank")
+    )
+
+
+# A first build of vectors over the documents, then one over a later version of them.
+_LATER = "CASE WHEN doc_id % 10 = 3 THEN text || ' changed' ELSE text END"
+
+
+@query(
+    f"""SELECT source AS paper_id, CASE WHEN t IN (SELECT text FROM documents) THEN 'stored' ELSE 'encoded' END AS provenance,
+  count(*)::BIGINT AS chunks, count(DISTINCT t)::BIGINT AS texts FROM (SELECT source, {_LATER} AS t FROM documents) GROUP BY ALL"""
+)
+def vector_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    """A second build of vectors encodes the texts that changed and takes all others from the store."""
+    docs = texts(spark, folder, "documents", "doc_id", "source", "text")
+    chunks = docs.select(F.col("source").alias("paper_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    store = index.build_vectors(chunks, None, "hashing-64").additions
+    later = F.when(F.col("chunk_id").cast("long") % 10 == 3, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    # chunk ids change as well: vectors are found by their text
+    again = chunks.withColumns({"text": later, "chunk_id": F.concat(F.lit("v2-"), "chunk_id")})
+    return index.build_vectors(again, store, "hashing-64").vectors.groupBy("paper_id", "provenance").agg(
+        F.count("*").alias("chunks"), F.count_distinct("text_sha").alias("texts")
+    )
+
+
 @query(
     sql.COLLECTION + "," + sql.pool_ctes()
     + """ SELECT query_id, chunk_id, rank::BIGINT AS rank, round(score, 6) AS score,

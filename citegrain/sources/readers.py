@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from citegrain import schemas
 from citegrain.operators.ingest import chunk_text
+from citegrain.sources.writers import current_version
 
 # --- fixed values ----------------------------------------------------------------------
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
@@ -95,8 +96,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str, paper_id: str | None = None) -> DataFrame:
-    """Stored chunks; a paper is one partition, so others are not read."""
-    chunks = spark.read.schema(schemas.CHUNK).parquet(path)
+    """Stored chunks, of the current version where the table was published; a paper is one
+    partition, so others are not read."""
+    version = current_version(spark, path)
+    chunks = spark.read.schema(schemas.CHUNK).parquet(f"{path}/{version}" if version else path)
     return chunks if paper_id is None else chunks.where(F.col("paper_id") == paper_id)
 
 

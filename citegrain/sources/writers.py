@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +40,51 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def publish(df: DataFrame, path: str, format: str = "parquet", partition: str | None = None) -> None:
-    """Write beside the target, then rename, so readers see the old table or the new one."""
+POINTER = "_current"
+
+
+def publish(df: DataFrame, path: str, format: str = "parquet", partition: str | None = None) -> str:
+    """Write a new version folder, then switch the pointer to it by one rename; returns the version.
+
+    Until the switch readers find the version before, afterwards the new one, and never none. The
+    version before stays for readers that have just resolved it; older ones are deleted.
+    """
     spark = df.sparkSession
-    staging, old = f"{path}.staging", f"{path}.old"
-    writer = df.write.mode("overwrite").format(format)
-    (writer.partitionBy(partition) if partition else writer).save(staging)
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    writer = df.write.mode("errorifexists").format(format)
+    (writer.partitionBy(partition) if partition else writer).save(f"{path}/{version}")
+    before = current_version(spark, path)
     fs, target, jvm = _filesystem(spark, path)
-    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs.delete(place(old), True)
-    if fs.exists(target):
-        fs.rename(target, place(old))
-    if not fs.rename(place(staging), target):
+    place = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    # pointers are ordered by the time in their names; the last one that is complete counts
+    staged = place(f".{POINTER}-{version}")
+    fs.create(staged).close()
+    if not fs.rename(staged, place(f"{POINTER}-{version}")):
         raise OutputRefused(f"could not publish {path}")
-    fs.delete(place(old), True)
+    for kind in ("", f"{POINTER}-"):
+        for status in fs.listStatus(target):
+            name = status.getPath().getName()
+            if name.startswith(f"{kind}v-") and name.removeprefix(kind) not in (version, before):
+                fs.delete(status.getPath(), True)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointers of a published table name last; NULL where there is none."""
+    fs, target, _ = _filesystem(spark, path)
+    if not fs.exists(target):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(target)]
+    versions = sorted(n.removeprefix(f"{POINTER}-") for n in names if n.startswith(f"{POINTER}-v-"))
+    return versions[-1] if versions else None
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the current version, to be read."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return f"{path}/{version}"
 
 
 def publish_ingestion(made: Ingested, folder: str) -> None:

@@ -182,3 +182,33 @@ def test_questions_about_unknown_papers_are_refused_on_request(spark):
     asks = spark.createDataFrame([("q", "nowhere", "graph?")], "query_id string, paper_id string, question string")
     with pytest.raises(ValueError, match="nowhere"):
         search.search(asks, chunks, known_only=True)
+
+
+def test_vectors_are_found_by_their_text(spark):
+    rows = [("p", f"c{k}", t) for k, t in enumerate(["one text", "two texts", "one text", "three"])]
+    chunks = spark.createDataFrame(rows, "paper_id string, chunk_id string, text string")
+    first = index.build_vectors(chunks, None, "m@1")
+    assert {r.provenance for r in first.vectors.collect()} == {"encoded"} and first.additions.count() == 3
+    later = spark.createDataFrame(
+        [("q", "new name", "one text"), ("p", "c1", "two texts, changed"), ("p", "c3", "three")], chunks.schema
+    )
+    store = first.additions.unionByName(first.additions)
+    second = index.build_vectors(later, store, "m@1")
+    found = {r.chunk_id: r for r in second.vectors.collect()}
+    assert {k: r.provenance for k, r in found.items()} == {"new name": "stored", "c1": "encoded", "c3": "stored"}
+    assert second.additions.count() == 1
+    fresh = {r.chunk_id: r.vector for r in index.encode_passages(later).collect()}
+    assert {k: r.vector for k, r in found.items()} == fresh
+    assert index.build_vectors(later, store, "m@2").additions.count() == 3
+
+
+@pytest.mark.parametrize("k, block", [(1, 3), (3, 5), (7, 1000)])
+def test_first_pages_lose_none_to_their_blocks(spark, k, block):
+    chance = np.random.default_rng(k)
+    vectors = chance.integers(-2, 3, size=(120, 4)).astype(float)
+    rows = [("p", f"c{i:03d}", int(chance.integers(0, 30)), v.tolist()) for i, v in enumerate(vectors)]
+    stored = spark.createDataFrame(rows, "paper_id string, chunk_id string, page int, vector array<double>")
+    asked = spark.createDataFrame([(q, "p", v.tolist()) for q, v in enumerate(vectors[:20])], "query_id int, paper_id string, vector array<double>")
+    key = lambda r: (r.query_id, r.rank, r.page, r.chunk_id, r.score)
+    whole = sorted(key(r) for r in retrieve.dense_pages(stored, asked).where(f"rank <= {k}").collect())
+    assert sorted(key(r) for r in retrieve.dense_pages(stored, asked, k, block, 7).collect()) == whole

@@ -98,6 +98,42 @@ def test_publication_is_all_or_nothing(spark, tmp_path):
     assert [r.paper_id for r in readers.read_chunks(spark, f"{out}/chunks").collect()] == ["q"]
 
 
+def test_a_reader_always_finds_a_version(spark, tmp_path, monkeypatch):
+    """Whatever step of a publication a reader looks in between, a whole version is there."""
+    path, seen = str(tmp_path / "table"), []
+    with pytest.raises(FileNotFoundError):
+        writers.published(spark, path)
+    first = writers.publish(spark.range(3), path)
+    steps = writers._filesystem
+
+    def looking(*args):
+        seen.append(spark.read.parquet(writers_published(spark, path)).count())
+        return steps(*args)
+
+    def writers_published(session, folder):
+        monkeypatch.setattr(writers, "_filesystem", steps)
+        try:
+            return writers.published(session, folder)
+        finally:
+            monkeypatch.setattr(writers, "_filesystem", looking)
+
+    monkeypatch.setattr(writers, "_filesystem", looking)
+    second = writers.publish(spark.range(5), path)
+    monkeypatch.setattr(writers, "_filesystem", steps)
+    assert seen and set(seen) <= {3, 5}
+    assert spark.read.parquet(writers.published(spark, path)).count() == 5
+    # one that has just resolved the version before may still read it
+    assert spark.read.parquet(f"{path}/{first}").count() == 3
+    third = writers.publish(spark.range(7), path, "json")
+    names = {p.name for p in (tmp_path / "table").iterdir() if not p.name.startswith(".")}
+    assert names == {second, third, f"_current-{second}", f"_current-{third}"}
+    # a publication that dies while it writes leaves the current version alone
+    broken = spark.range(4).selectExpr("raise_error('lost') as x")
+    with pytest.raises(Exception, match="lost"):
+        writers.publish(broken, path)
+    assert writers.current_version(spark, path) == third
+
+
 def test_guards_and_resumed_runs(spark, tmp_path):
     taken = tmp_path / "taken"
     taken.mkdir()

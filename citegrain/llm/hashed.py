@@ -162,10 +162,14 @@ class _Sparse:
         return np.add.reduceat(parts, self.column_first, dtype=np.float64)
 
 
-def train(rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1e-5) -> Scorer:
+def train(
+    rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1e-5,
+    stands_for: tuple[float, float] = (1.0, 1.0),
+) -> Scorer:
     """Logistic regression by accelerated gradient steps on folds 0-6, Platt calibration on 7-9.
 
-    Rows may have soft labels. Both classes weigh the same in the fit; the calibration brings back
+    A row with a label below 0.5 stands for the first of `stands_for` rows in the calibration, any
+    other for the second. Rows may have soft labels. Both classes weigh the same in the fit; the calibration brings back
     their shares. Without held-out rows of both classes the fit is not calibrated. Plain steps
     move the n-grams that many texts share first, and leave those of one text near zero.
     """
@@ -191,21 +195,24 @@ def train(rows: pa.Table, rounds: int = 200, rate: float = 0.4, decay: float = 1
     scorer = Scorer(weights, float(bias))
     z, held = matrix.times(w) + bias, y[~fit]
     if len(held) and held.min() < 0.5 <= held.max():
-        scorer.slope, scorer.shift = platt(z[~fit], held)
+        scorer.slope, scorer.shift = platt(z[~fit], held, np.where(held < 0.5, *stands_for))
     return scorer
 
 
-def platt(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 50) -> tuple[float, float]:
     """Slope and shift of the calibrating sigmoid, by damped Newton steps on smoothed labels."""
-    up, n = y.sum(), len(y)
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    up, n = (weight * y).sum(), len(y)
     goal = y * (up + 1) / (up + 2) + (1 - y) / (n - up + 2)
     x = np.stack([z, np.ones(n)])
     at = np.array([1.0, 0.0])
-    loss = lambda v: -np.mean(goal * np.log(sigmoid(v @ x)) + (1 - goal) * np.log(sigmoid(-(v @ x))))
+    loss = lambda v: -np.mean(
+        weight * (goal * np.log(sigmoid(v @ x)) + (1 - goal) * np.log(sigmoid(-(v @ x))))
+    )
     for _ in range(rounds):
         p = sigmoid(at @ x)
-        down = x @ (p - goal) / n
-        bend = (x * (p * (1 - p))) @ x.T / n + 1e-6 * np.eye(2)
+        down = x @ (weight * (p - goal)) / n
+        bend = (x * (weight * p * (1 - p))) @ x.T / n + 1e-6 * np.eye(2)
         move, size = np.linalg.solve(bend, down), 1.0
         while size > 1e-3 and loss(at - size * move) > loss(at):
             size /= 2

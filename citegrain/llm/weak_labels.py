@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import arrow_pass, free_arrow, stored, texts_of
+from citegrain.llm.common import Scratch, arrow_pass, document_key, free_arrow, texts_of
 from citegrain.llm.hashed import Scorer, sample_rows, smallest, train
 from citegrain.llm.quality_rules import SYMBOLS, WORD, duplicate_lines, repeated_words
 
@@ -104,47 +104,65 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
 
 
 def with_votes(documents: DataFrame) -> DataFrame:
-    """pattern: the votes of each document as digits 0, 1, 2 of a base-3 number."""
+    """(pattern, h, key): the votes of each document as digits 0, 1, 2 of a base-3 number, the hash
+    of its text (null for none) and a hash of its row."""
+    row = document_key(F.col("text"), F.col("doc_id")) if "doc_id" in documents.columns else F.xxhash64("text")
+    hashed = documents.select("text", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("h"), row.alias("key"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         cast = np.array([votes(t) for t in texts_of(batch.column("text"))], np.int64)
         code = (cast.reshape(-1, len(LABELLERS)) + 1) @ 3 ** np.arange(len(LABELLERS))
-        return pa.RecordBatch.from_arrays([pa.array(code)], ["pattern"])
+        return pa.RecordBatch.from_arrays([pa.array(code), batch.column("h"), batch.column("key")], ["pattern", "h", "key"])
 
-    return arrow_pass(documents.select("text"), step, "pattern long")
+    return arrow_pass(hashed, step, "pattern long, h long, key long")
 
 
 def _digits(code: np.ndarray) -> np.ndarray:
     return code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
-def fit_labels(documents: DataFrame) -> tuple[LabelModel, int]:
-    """The label model, from the votes on all documents, and how many they are."""
-    found = with_votes(documents).groupBy("pattern").count().orderBy("pattern").toArrow()
-    counts = found["count"].to_numpy()
-    return estimate(_digits(found["pattern"].to_numpy()), counts), int(counts.sum())
+def fit_labels(cast: DataFrame) -> tuple[LabelModel, np.ndarray]:
+    """The label model, from the votes on all documents, and all vote patterns."""
+    found = cast.groupBy("pattern").count().orderBy("pattern").toArrow()
+    patterns = found["pattern"].to_numpy()
+    return estimate(_digits(patterns), found["count"].to_numpy()), patterns
 
 
 def fit(documents: DataFrame, max_rows: int = 2000) -> tuple[LabelModel, Scorer | None]:
-    """The label model of all documents, and a scorer from a sample of at most `max_rows`.
+    """The label model of all documents, and a scorer from a sample of at most `max_rows` texts.
 
-    The scorer is None where the sample has no document of either kind.
+    Half the sample are texts whose posterior is bad, half such whose posterior is good, each the
+    distinct texts of the smallest hashes: however few are bad, and however often a text is copied,
+    both are there. Weights give each class its share of all distinct texts again. The scorer is
+    None only where no text at all has a bad posterior, or none a good one.
     """
-    model, total = fit_labels(documents)
-    worded = documents.select("text", F.xxhash64("text").alias("h")).where("text is not null")
-    picked = smallest(worded, "h", total, max_rows)
-
-    def label(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        y = model.posterior(np.array([votes(t) for t in texts]).reshape(-1, len(LABELLERS)))
-        return pa.RecordBatch.from_arrays([batch.column("text"), pa.array(y)], ["text", "y"])
-
-    labelled = stored(arrow_pass(picked.select("text"), label, "text string, y double"))
-    rows = sample_rows(labelled, "y", max_rows)
-    y = rows["y"].to_numpy()
-    scorer = train(rows) if len(y) and y.min() < 0.5 <= y.max() else None
-    del rows, y
-    free_arrow()
+    spark = documents.sparkSession
+    with Scratch(spark) as tables:
+        cast = tables.keep(with_votes(documents))
+        model, patterns = fit_labels(cast)
+        y = model.posterior(_digits(patterns)) if len(patterns) else np.zeros(0)
+        known = spark.createDataFrame(
+            [(int(c), float(p), bool(p < 0.5)) for c, p in zip(patterns, y, strict=True)], "pattern long, y double, bad boolean"
+        )
+        texts = tables.keep(
+            cast.where("h is not null").groupBy("h").agg(F.min("pattern").alias("pattern"), F.min("key").alias("key"))
+            .join(F.broadcast(known), "pattern")
+        )
+        counts = {r.bad: r["count"] for r in texts.groupBy("bad").count().collect()}
+        if len(counts) < 2:
+            return model, None
+        halves = {b: smallest(texts.where(F.col("bad") == b), "h", n, max_rows // 2) for b, n in counts.items()}
+        picked = tables.keep(halves[True].unionByName(halves[False]).select("key", "y"))
+        taken = {r.bad: r["count"] for r in picked.groupBy((F.col("y") < 0.5).alias("bad")).count().collect()}
+        row = document_key(F.col("text"), F.col("doc_id")) if "doc_id" in documents.columns else F.xxhash64("text")
+        # rows alike in id and text come once
+        labelled = tables.keep(
+            documents.select("text", row.alias("key")).join(F.broadcast(picked), "key").dropDuplicates(["key"])
+        )
+        rows = sample_rows(labelled, "y", max_rows)
+        scorer = train(rows, stands_for=tuple(counts[b] / max(1, taken.get(b, 0)) for b in (True, False)))
+        del rows
+        free_arrow()
     return model, scorer
 
 

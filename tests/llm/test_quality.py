@@ -125,3 +125,57 @@ def test_edges_of_both(spark):
     assert len(judged) == documents.count() and sorted(judged[0].asDict()) == ["doc_id", "kept", "score", "text"]
     assert not by_id[500].kept and not by_id[502].kept and by_id[5].kept and not by_id[105].kept
     assert weak_labels.quality_classifier(documents.limit(0)).count() == 0
+
+
+def plain_estimate(patterns, counts, rounds=200):
+    """EM with loops: each labeller has a chance of every vote in either class."""
+    votes = [tuple(int(v) for v in p) for p in patterns]
+    total = sum(counts)
+    p = [0.1 if sum(v == -1 for v in x) * 9 > sum(v != 0 for v in x) else 0.95 for x in votes]
+    for _ in range(rounds):
+        mass = [sum(c * (1 - q) for c, q in zip(counts, p)) / total, sum(c * q for c, q in zip(counts, p)) / total]
+        chance = []
+        for n in range(len(votes[0])):
+            seen = {v: [1e-3 / 2, 1e-3 / 2] for v in (-1, 1)}
+            for x, c, q in zip(votes, counts, p):
+                if x[n]:
+                    seen[x[n]][0] += c / total * (1 - q)
+                    seen[x[n]][1] += c / total * q
+            chance.append({v: [seen[v][k] / (seen[-1][k] + seen[1][k]) for k in (0, 1)] for v in (-1, 1)})
+        prior = min(0.99, max(0.01, mass[1]))
+        p = []
+        for x in votes:
+            odds = [1 - prior, prior]
+            for n, v in enumerate(x):
+                if v:
+                    odds = [o * chance[n][v][k] for k, o in enumerate(odds)]
+            p.append(odds[1] / sum(odds))
+    return prior, p
+
+
+def test_em_against_loops():
+    chance = random.Random(11)
+    patterns = sorted({tuple(chance.choice((-1, 0, 1, 1)) for _ in range(4)) for _ in range(60)})
+    counts = [chance.randint(1, 400) for _ in patterns]
+    model = weak_labels.estimate(np.array(patterns), np.array(counts), 25)
+    prior, p = plain_estimate(patterns, counts, 25)
+    assert abs(model.prior - prior) < 1e-9
+    assert np.allclose(model.posterior(np.array(patterns)), p, atol=1e-9)
+
+
+def test_few_bad_texts_and_many_copies_still_train_a_scorer(spark):
+    """Four bad texts among thousands, a third of them copies of one: the scorer knows both classes."""
+    chance = random.Random(6)
+    small, names = ("the", "of", "and", "in", "a", "is"), [f"name{k}x" for k in range(300)]
+    good = lambda: " ".join(chance.choice(names if j % 2 else small) for j in range(60))
+    made = [(k, good()) for k in range(1500)]
+    made += [(5000 + k, made[3][1]) for k in range(800)] + [(9000 + k, " ".join(f"w{k}{j}*** !!" for j in range(60))) for k in range(12)]
+    documents = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    model, scorer = weak_labels.fit(documents, 400)
+    assert scorer is not None
+    judged = {r.doc_id: r.kept for r in weak_labels.judge(documents, scorer).collect()}
+    assert not any(judged[9000 + k] for k in range(12)) and sum(judged[k] for k in range(1500)) > 1480
+    # kept follows the score of the whole text, row by row
+    for r in weak_labels.judge(documents, scorer).limit(50).collect():
+        assert r.score == pytest.approx(scorer.probability([r.text.encode()])[0]) and r.kept == (r.score >= 0.5)
+    assert weak_labels.fit(documents.where("doc_id < 100"))[1] is None

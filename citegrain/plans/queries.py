@@ -427,8 +427,9 @@ def dense_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH s AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id, p.vec_id // 4 AS page, {_DOT} AS score FROM embeddings q, embeddings p),
-b AS (SELECT query_id, page, arg_min(chunk_id, (-round(score, 9), chunk_id)) AS chunk_id, max(round(score, 9)) AS best FROM s GROUP BY ALL)
-SELECT query_id, page::BIGINT AS page, chunk_id, round(best, 6) AS score, row_number() OVER w AS rank FROM b
+b AS (SELECT query_id, page, arg_min(chunk_id, (-round(score, 9), chunk_id)) AS chunk_id, max(round(score, 9)) AS best,
+  arg_min(score, (-round(score, 9), chunk_id)) AS own FROM s GROUP BY ALL)
+SELECT query_id, page::BIGINT AS page, chunk_id, round(own, 6) AS score, row_number() OVER w AS rank FROM b
 WINDOW w AS (PARTITION BY query_id ORDER BY best DESC, page) QUALIFY row_number() OVER w <= 20"""
 )
 def dense_pages_top20(spark: SparkSession, folder: str) -> DataFrame:

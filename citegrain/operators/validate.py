@@ -133,6 +133,67 @@ def same_when_folded(rows: DataFrame, text: str, key: str) -> DataFrame:
     return seen.select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("id"))
 
 
+def alignment_violations(outputs: DataFrame, aligned: DataFrame, sources: DataFrame, cited: DataFrame) -> DataFrame:
+    """What keeps published alignments from rebuilding their answers and sources; ids are case ids.
+
+    ``outputs``: case_id, language, sufficiency, answer; ``aligned``: case_id, position, sentence_id,
+    evidence_id, source_text, answer_text, page, section, answer_language; ``sources``: the usable
+    sentences by (case_id, sentence_id, evidence_id) with text, page, section; ``cited``: page and
+    section by (case_id, evidence_id). The answer is rebuilt from its pieces in their order; every
+    piece must be a known sentence, with the text, page and section of it and of its evidence.
+    """
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("position", "answer_text"))), lambda p: p["answer_text"])
+    rebuilt = aligned.groupBy("case_id").agg(F.array_join(pieces, " ").alias("rebuilt"))
+    answers = outputs.join(rebuilt, "case_id", "left")
+    told = F.col("rebuilt").isNotNull()
+    whole = rule_violations(
+        answers, "case_id",
+        {
+            "aligned_refusal": ~told | (F.col("sufficiency") == "sufficient"),
+            "rebuilt_answer": ~told | (F.col("rebuilt") == F.col("answer")),
+        },
+    )
+    source = sources.select("case_id", "sentence_id", "evidence_id", *[F.col(c).alias(f"s_{c}") for c in ("text", "page", "section")])
+    shown = cited.select("case_id", "evidence_id", *[F.col(c).alias(f"c_{c}") for c in ("page", "section")])
+    rows = (
+        aligned.join(source, ["case_id", "sentence_id", "evidence_id"], "left").join(shown, ["case_id", "evidence_id"], "left")
+        .join(outputs.select("case_id", "language"), "case_id", "left")
+    )
+    known, resolved = F.col("s_text").isNotNull(), F.col("c_page").isNotNull()
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"s_{c}")) & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    parts = rule_violations(
+        rows, "case_id",
+        {
+            "unknown_sentence": known, "unresolved_evidence": resolved,
+            "changed_source": ~known | (F.col("source_text") == F.col("s_text")),
+            "changed_page": ~known | ~resolved | same("page"), "changed_section": ~known | ~resolved | same("section"),
+            "changed_language": F.col("answer_language").eqNullSafe(F.col("language")),
+        },
+    )
+    return whole.unionByName(parts.distinct())
+
+
+def metric_differences(published: DataFrame, recomputed: DataFrame, keys: list[str], places: int = 6) -> DataFrame:
+    """Published metrics that rows do not give again: (keys, metric, published, recomputed).
+
+    Both reports meet on their keys and metrics; a row or a metric of one side only differs from NULL. Values
+    are compared as text of ``places`` decimals, so counts and rates are told alike.
+    """
+    def long(df: DataFrame, name: str) -> DataFrame:
+        pairs = [
+            F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), places).alias("value"))
+            for c in df.columns if c not in keys
+        ]
+        rows = df.select(*keys, F.explode(F.array(*pairs)).alias("p"))
+        return rows.select(*keys, "p.metric", F.col("p.value").alias(name))
+
+    sides = [long(df, "value").withColumn("side", F.lit(name)) for name, df in (("published", published), ("recomputed", recomputed))]
+    both = _union(sides).groupBy(*keys, "metric").agg(
+        *[F.max(F.when(F.col("side") == name, F.col("value"))).alias(name) for name in ("published", "recomputed")]
+    )
+    return both.where(~F.col("published").eqNullSafe(F.col("recomputed")))
+
+
 def changed_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Added, removed and changed keys between two versions of a table."""
     fields = [c for c in before.columns if c != key]

@@ -1392,6 +1392,62 @@ def unlabelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Every document as an answer that quotes its own lines; some alignments were changed afterwards.
+_ALIGNED = """line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM documents)
+SELECT DISTINCT * FROM (
+SELECT 'aligned_refusal' AS rule, doc_id::VARCHAR AS id FROM documents WHERE doc_id % 11 = 5
+UNION ALL SELECT 'rebuilt_answer', doc_id::VARCHAR FROM documents WHERE doc_id % 11 = 1
+UNION ALL SELECT 'unknown_sentence', doc_id::VARCHAR FROM line WHERE doc_id % 11 = 4 AND k = 1
+UNION ALL SELECT 'unresolved_evidence', doc_id::VARCHAR FROM documents WHERE doc_id % 11 = 6
+UNION ALL SELECT 'changed_source', doc_id::VARCHAR FROM line WHERE doc_id % 11 = 2 AND k = 1
+UNION ALL SELECT 'changed_page', doc_id::VARCHAR FROM documents WHERE doc_id % 11 = 3
+UNION ALL SELECT 'changed_section', doc_id::VARCHAR FROM documents WHERE doc_id % 11 = 7
+UNION ALL SELECT 'changed_language', doc_id::VARCHAR FROM documents WHERE doc_id % 11 = 8)"""
+
+
+@query("WITH " + _ALIGNED)
+def alignment_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignments that do not rebuild their answer or do not agree with their sources."""
+    docs = texts(spark, folder, "documents", "doc_id", "text")
+    n, case = F.col("doc_id"), F.col("doc_id").cast("string").alias("case_id")
+    page = (n % 7 + 1).cast("int")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).select(
+        "doc_id", case, "at", "line", F.format_string("s%d", "at").alias("sentence_id"), F.lit("ev-01-a").alias("evidence_id"),
+        page.alias("page"), F.lit("Body").alias("section"),
+    )
+    first = F.col("at") == 0
+    aligned = lines.select(
+        "case_id", F.col("at").alias("position"), F.when((n % 11 == 4) & first, "none").otherwise(F.col("sentence_id")).alias("sentence_id"),
+        "evidence_id", F.when((n % 11 == 2) & first, F.concat("line", F.lit("."))).otherwise(F.col("line")).alias("source_text"),
+        F.col("line").alias("answer_text"), F.when(n % 11 == 3, 0).otherwise(F.col("page")).alias("page"),
+        F.when(n % 11 == 7, "Other").otherwise(F.col("section")).alias("section"),
+        F.when(n % 11 == 8, "ko").otherwise("en").alias("answer_language"),
+    )
+    joined = F.replace("text", F.lit("\n"), F.lit(" "))
+    outputs = docs.select(
+        case, F.lit("en").alias("language"), F.when(n % 11 == 5, "insufficient").otherwise("sufficient").alias("sufficiency"),
+        F.when(n % 11 == 1, F.concat(joined, F.lit("!"))).otherwise(joined).alias("answer"),
+    )
+    cited = docs.select(
+        case, F.when(n % 11 == 6, "ev-02-b").otherwise("ev-01-a").alias("evidence_id"), page.alias("page"), F.lit("Body").alias("section")
+    )
+    sources = lines.select("case_id", "sentence_id", "evidence_id", F.col("line").alias("text"), "page", "section")
+    return validate.alignment_violations(outputs, aligned, sources, cited)
+
+
+@query(
+    f"""WITH p AS ({inspections.summary_sql('split')})
+SELECT value AS split, 'invalid_outputs' AS metric, invalid_outputs::DOUBLE + 1 AS published, invalid_outputs::DOUBLE AS recomputed
+FROM p WHERE value IN ('src3', 'src7')"""
+)
+def published_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of a published report, two of them altered, against those recomputed from the records."""
+    report = metrics.quality_summary(inspections.inspected(spark, folder), by="split")
+    altered = F.col("invalid_outputs") + F.when(F.col("split").isin("src3", "src7"), 1).otherwise(0)
+    return validate.metric_differences(report.withColumn("invalid_outputs", altered), report, ["split"])
+
+
 # Papers mapped to run-time ids; some share one, some have two, one in a while has none.
 _MAP = """SELECT source, CASE WHEN doc_id % 40 = 7 THEN NULL WHEN doc_id % 40 = 9 THEN 'run-shared' ELSE 'run-' || source END AS run_id
 FROM documents WHERE source <> 'src0' UNION ALL SELECT 'stranger', 'run-stranger'"""

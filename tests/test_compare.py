@@ -89,3 +89,39 @@ def test_same_when_folded(spark):
     df = spark.createDataFrame(rows, "case_id long, split string, question string")
     found = {(r.rule, r.id) for r in validate.same_when_folded(df, "question", "case_id").collect()}
     assert found == {("duplicate_text", "1"), ("duplicate_text", "3"), ("leak_text", "3")}
+
+
+def test_alignment_violations(spark):
+    outputs = spark.createDataFrame(
+        [("good", "en", "sufficient", "One. Two."), ("order", "en", "sufficient", "Two. One."), ("no", "ko", "insufficient", "x"),
+         ("none", "en", "insufficient", "x"), ("bad", "en", "sufficient", "One.")],
+        "case_id string, language string, sufficiency string, answer string",
+    )
+    row = lambda case, at, text, sentence="s1", said=None, page=1, section="A", language="en", evidence="e1": (
+        case, at, sentence, evidence, text, said or text, page, section, language)
+    aligned = spark.createDataFrame(
+        [row("good", 2, "Two.", "s2"), row("good", 1, "One."), row("order", 1, "One."), row("order", 2, "Two.", "s2"),
+         row("no", 1, "x", language="ko"), row("bad", 1, "Changed.", said="One.", page=2, section=None, language=None)],
+        "case_id string, position int, sentence_id string, evidence_id string, source_text string, answer_text string, page int, "
+        "section string, answer_language string",
+    )
+    sources = spark.createDataFrame(
+        [(c, s, "e1", t, 1, "A") for c in ("good", "order", "bad") for s, t in (("s1", "One."), ("s2", "Two."))],
+        "case_id string, sentence_id string, evidence_id string, text string, page int, section string",
+    )
+    cited = spark.createDataFrame([(c, "e1", 1, "A") for c in ("good", "order", "bad")], "case_id string, evidence_id string, page int, section string")
+    found = {(r.rule, r.id) for r in validate.alignment_violations(outputs, aligned, sources, cited).collect()}
+    assert found == {
+        ("rebuilt_answer", "order"), ("aligned_refusal", "no"), ("unknown_sentence", "no"), ("unresolved_evidence", "no"),
+        ("changed_source", "bad"), ("changed_page", "bad"), ("changed_section", "bad"), ("changed_language", "bad"),
+    }
+
+
+def test_metric_differences(spark):
+    schema = "split string, units long, rate double"
+    published = spark.createDataFrame([("dev", 3, 0.5), (None, 9, None), ("old", 1, 1.0)], schema)
+    again = spark.createDataFrame([("dev", 3, 0.50000001), (None, 8, None), ("new", 2, 0.0)], schema)
+    found = {(r.split, r.metric): (r.published, r.recomputed) for r in validate.metric_differences(published, again, ["split"]).collect()}
+    assert found == {
+        (None, "units"): (9, 8), ("old", "units"): (1, None), ("old", "rate"): (1, None), ("new", "units"): (None, 2), ("new", "rate"): (None, 0),
+    }

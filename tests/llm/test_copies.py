@@ -133,7 +133,7 @@ def block_links(rows):
     held = [set(blocks[of == k].tolist()) if len(x) >= line_dedup.LEAST_WORDS else set() for k, x in enumerate(lines)]
     links = []
     for i, a in enumerate(lines):
-        away = np.bitwise_count(prints[i] ^ prints)
+        away = np.bitwise_count(prints[i] ^ prints).sum(axis=1)
         for j in range(i):
             b = lines[j]
             longest = max(len(a), len(b))
@@ -199,7 +199,7 @@ def test_simhashes_are_the_majority_of_bits(monkeypatch):
         segments = np.split(made.words, cuts[1:])
         for row in range(len(made.first)):
             words = made.words[made.first[row] : made.last[row]]
-            assert prints[row].tobytes() == majority(words)
+            assert prints[row].tobytes() == majority(words) + majority(common.mix(words + np.uint64(common.BASE)))
             own = [s for s, c in zip(segments, cuts) if made.first[row] <= c < made.last[row]]
             assert sum(map(len, own)) == len(words)
             longest = sorted({(-len(s), int.from_bytes(majority(s), "little")) for s in own})

@@ -217,6 +217,17 @@ def stage_values(results: DataFrame, timings: str = "stage_timings") -> DataFram
     )
 
 
+def calibration_rows(rows: DataFrame, split: str = "dev") -> DataFrame:
+    """The rows, where all are of the split that thresholds may be chosen on; others are refused.
+
+    A threshold that has seen held-out rows says nothing about them.
+    """
+    other = rows.where(~F.col("split").eqNullSafe(split)).select("split").first()
+    if other is not None:
+        raise ValueError(f"thresholds are chosen on {split} rows only, found {other['split']}")
+    return rows
+
+
 def threshold_candidates(
     rows: DataFrame, retention_rows: DataFrame | None = None
 ) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from citegrain.operators import jobs, metrics, validate
@@ -146,3 +147,12 @@ def test_constraints(spark):
 def test_fact_aliases(each):
     cases = [("Up to 3 . 5 points", "3.5"), ("Up to 13.5", "3.5"), ("A trade–off", "trade-off"), ("12", "1")]
     assert each(metrics.fact_stated, cases) == [True, False, True, False]
+
+
+def test_thresholds_are_chosen_on_development_rows_only(spark):
+    rows = spark.createDataFrame([("m", "dev"), ("n", "dev")], "meaning_id string, split string")
+    assert metrics.calibration_rows(rows).count() == 2
+    for split in ("holdout", None):
+        more = rows.unionByName(spark.createDataFrame([("x", split)], rows.schema))
+        with pytest.raises(ValueError, match="dev rows only"):
+            metrics.calibration_rows(more)

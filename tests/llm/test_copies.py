@@ -260,3 +260,18 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs.withColumn("extra", docs.doc_id), bench)
             assert out.count() <= docs.count() and "doc_id" in out.columns
+
+
+@needs_tables
+def test_pipeline_stages_keep_own_columns_of_documents(spark):
+    """Columns of documents that operators also add keep the values of documents."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr(
+        "*", "doc_id + 0.5 as score", "concat('k', doc_id) as kept", "doc_id * 2 as n_lines", "'r' as n_removed"
+    )
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(
+            (r.score, r.kept, r.n_lines, r.n_removed) == (r.doc_id + 0.5, f"k{r.doc_id}", r.doc_id * 2, "r") for r in rows
+        )

@@ -65,7 +65,10 @@ def search(
     index = index or build_index(chunks)
     vectors = vectors if vectors is not None else encode_passages(chunks, encoder)
     bm25 = retrieve.bm25_top_k(index, chunks, asks, policy.source_k)
-    dense = retrieve.dense_top_k(vectors, encode_questions(asks, encoder), policy.source_k)
+    # counts of hashed tokens: a chunk that shares no slot with the question is not found by them
+    dense = retrieve.dense_top_k(
+        vectors, encode_questions(asks, encoder), policy.source_k, overlapping=encoder is None
+    )
     fused = checkpoint(
         retrieve.rerank_pool({"bm25": bm25, "dense": dense}, mode="source_union", rrf_k=policy.rrf_k)
     )

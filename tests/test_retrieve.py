@@ -212,3 +212,20 @@ def test_first_pages_lose_none_to_their_blocks(spark, k, block):
     key = lambda r: (r.query_id, r.rank, r.page, r.chunk_id, r.score)
     whole = sorted(key(r) for r in retrieve.dense_pages(stored, asked).where(f"rank <= {k}").collect())
     assert sorted(key(r) for r in retrieve.dense_pages(stored, asked, k, block, 7).collect()) == whole
+
+
+def test_overlapping_vectors_leave_out_what_shares_no_component(spark):
+    rows = [("p", "a", [1.0, 0.0, 0.0]), ("p", "b", [0.0, 1.0, 0.0]), ("p", "c", [1.0, -1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "paper_id string, chunk_id string, vector array<double>")
+    asked = spark.createDataFrame(
+        [("q", "p", [1.0, 1.0, 0.0]), ("r", "p", [1.0, 0.0, 0.0]), ("none", "p", [0.0, 0.0, 1.0])],
+        "query_id string, paper_id string, vector array<double>",
+    )
+    found = lambda **how: sorted(
+        (r.query_id, r["rank"], r.chunk_id) for r in retrieve.dense_top_k(vectors, asked, 3, **how).collect()
+    )
+    # c meets q in two components that cancel out: found, with score 0
+    assert found(overlapping=True) == [
+        ("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "a"), ("r", 2, "c"),
+    ]
+    assert len(found()) == 9

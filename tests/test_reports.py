@@ -17,6 +17,17 @@ def both(spark, folder, name, **tables):
     return tidy(mine), tidy(theirs)
 
 
+def test_report_counts_every_page_and_long_segments_only(spark, tmp_path):
+    rows = [
+        (0, "a", "Ein Satz. " * 200), (1, "a", "1 note of a foot\nplain text."), (2, "a", " "),
+        (3, "a", "Short."), (4, "b", ""), (5, "c", "* a mark\nand a line."),
+    ]
+    mine, theirs = both(
+        spark, tmp_path, "ingestion_report", documents=(rows, "doc_id long, source string, text string")
+    )
+    assert mine == theirs and len(mine) == 2
+
+
 def test_guard_ranks_without_chunks_that_share_no_token_slot(spark, tmp_path):
     # the first answer shares no slot with the question, the second one that of its prefix
     turns = [

@@ -1,22 +1,24 @@
 """Term index per paper and passage vectors.
 
-Chunks are hash-partitioned by ``chunk_id`` once; exploding and counting terms, joining
-the (small) question side and summing scores then all stay inside those partitions.
+Terms are counted in one pass over the chunks, which shuffles a vocabulary per batch and no
+postings. Postings, one row per chunk and term, are made only where they are stored or joined.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.functions.text import tokens
-from citegrain.session import checkpoint, spread
+from citegrain.functions.text import token_list, tokens
+from citegrain.session import checkpoint, hinted, spread
 
 # --- fixed values: the Okapi weighting -------------------------------------------------
 K1, B, NEGATIVE_IDF_SHARE = 1.5, 0.75, 0.25
@@ -38,28 +40,57 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
-def paper_stats(chunks: DataFrame) -> DataFrame:
-    """Chunks and mean chunk length per paper; chunks without tokens count too."""
-    return chunks.groupBy("paper_id").agg(
-        F.count("*").alias("chunks"), F.avg(F.size(tokens(F.col("text")))).alias("mean_length")
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """Chunks of each (paper, term) in one pass over the texts; the row without a term counts all
+    chunks of the paper, those without tokens too, and their tokens."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: defaultdict[str, Counter[str | None]] = defaultdict(Counter)
+            lengths: Counter[str] = Counter()
+            for paper, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                listed = token_list(text)
+                found[paper].update({*listed, None})
+                lengths[paper] += len(listed)
+            for paper, counts in found.items():
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.repeat(paper, len(counts)),
+                        pa.array(counts.keys(), pa.string()),
+                        pa.array(counts.values(), pa.int64()),
+                        pa.repeat(pa.scalar(lengths[paper], pa.int64()), len(counts)),
+                    ],
+                    ["paper_id", "term", "df", "tokens"],
+                )
+
+    rows = chunks.select("paper_id", "text")
+    partial = rows.mapInArrow(count, "paper_id string, term string, df long, tokens long")
+    return partial.groupBy("paper_id", "term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
+
+
+def paper_stats(counted: DataFrame) -> DataFrame:
+    """Chunks and mean chunk length per paper."""
+    return counted.where(F.col("term").isNull()).select(
+        "paper_id", F.col("df").alias("chunks"), (F.col("tokens") / F.col("df")).alias("mean_length")
     )
 
 
-def term_stats(postings: DataFrame, papers: DataFrame) -> DataFrame:
+def term_stats(counted: DataFrame, papers: DataFrame) -> DataFrame:
     """Document frequency and inverse document frequency per (paper, term).
 
     A term found in over half of a paper's chunks would weigh negatively; it gets a fixed
     share of the mean weight over that paper's vocabulary instead.
     """
-    counted = postings.groupBy("paper_id", "term").agg(F.count("*").alias("df"))
-    raw = counted.join(papers, "paper_id").select(
+    # one paper may hold nearly all terms, so a short list of papers is joined where the terms lie
+    few = hinted(papers)
+    raw = counted.where(F.col("term").isNotNull()).join(few(papers), "paper_id").select(
         "paper_id",
         "term",
         "df",
         (F.ln(F.col("chunks") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw_idf"),
     )
     mean = raw.groupBy("paper_id").agg(F.avg("raw_idf").alias("mean_idf"))
-    return raw.join(mean, "paper_id").select(
+    return raw.join(few(mean), "paper_id").select(
         "paper_id",
         "term",
         "df",
@@ -85,9 +116,9 @@ class TermIndex:
 
 
 def build_index(chunks: DataFrame) -> TermIndex:
-    postings = term_counts(chunks)
-    papers = paper_stats(chunks)
-    return TermIndex(postings, term_stats(postings, papers), papers)
+    counted = checkpoint(vocabulary(chunks))
+    papers = paper_stats(counted)
+    return TermIndex(term_counts(chunks), term_stats(counted, papers), papers)
 
 
 def load_index(spark: SparkSession, path: str) -> TermIndex:
@@ -107,23 +138,23 @@ def hashing_encoder(dimensions: int = DIMENSIONS) -> Encoder:
     """
 
     @F.pandas_udf("array<float>")
-    def encode(token_lists: pd.Series) -> pd.Series:
-        slots: dict[str, int] = {}  # lives for one Arrow batch
+    def encode(texts: pd.Series) -> pd.Series:
+        class Slots(dict):
+            def __missing__(self, word: str) -> int:
+                self[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dimensions
+                return self[word]
 
-        def slot(word: str) -> int:
-            if word not in slots:
-                slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % dimensions
-            return slots[word]
+        slots = Slots()  # lives for one Arrow batch
 
-        def vector(words: np.ndarray) -> np.ndarray:
-            hashed = np.fromiter((slot(word) for word in words), dtype=np.int64)
+        def vector(text: str) -> np.ndarray:
+            hashed = np.fromiter(map(slots.__getitem__, token_list(text)), dtype=np.int64)
             counts = np.bincount(hashed, minlength=dimensions).astype(np.float64)
             norm = np.sqrt(counts @ counts)
             return (counts / norm if norm else counts).astype(np.float32)
 
-        return token_lists.map(vector)
+        return texts.map(vector)
 
-    return lambda text: encode(tokens(text))
+    return encode
 
 
 def encode_passages(chunks: DataFrame, encoder: Encoder | None = None) -> DataFrame:

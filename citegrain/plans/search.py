@@ -12,7 +12,7 @@ from citegrain.operators.index import (
     Encoder, TermIndex, build_index, encode_passages, encode_questions,
 )
 from citegrain.operators.windows import ASK
-from citegrain.session import checkpoint
+from citegrain.session import checkpoint, hinted
 
 
 @dataclass(frozen=True)
@@ -87,4 +87,4 @@ def with_chunks(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
         "paper_id", "chunk_id", "page", "source_page_id", "section", "section_index",
         "chunk_index", "text",
     )
-    return ranked.join(detail, ["paper_id", "chunk_id"])
+    return hinted(ranked, 20_000)(ranked).join(detail, ["paper_id", "chunk_id"])

@@ -57,9 +57,8 @@ def collection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(chunks: DataFrame) -> indexing.TermIndex:
-    postings = _kept(indexing.term_counts(chunks))
-    papers = _kept(indexing.paper_stats(chunks))
-    return indexing.TermIndex(postings, _kept(indexing.term_stats(postings, papers)), papers)
+    made = indexing.build_index(chunks)
+    return indexing.TermIndex(made.postings, _kept(made.terms), _kept(made.papers))
 
 
 def collection_index(spark: SparkSession, folder: str) -> indexing.TermIndex:

@@ -229,3 +229,14 @@ def test_overlapping_vectors_leave_out_what_shares_no_component(spark):
         ("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "a"), ("r", 2, "c"),
     ]
     assert len(found()) == 9
+
+
+def test_terms_are_counted_in_one_pass_without_a_row_for_each_posting(corpus):
+    rows, chunks = corpus
+    made = index.build_index(chunks)
+    counted = index.vocabulary(chunks)
+    plan = counted._jdf.queryExecution().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") > 0
+    want = Counter((p, w) for p, _, _, t in rows for w in {*tokenize(t), None})
+    assert {(r.paper_id, r.term): r.df for r in counted.collect()} == want
+    assert {r.paper_id: r.chunks for r in made.papers.collect()} == {"big": 40, "small": 3, "one": 1}

@@ -131,3 +131,22 @@ def test_number_columns(each):
     assert each(lambda c: numbers.numbers(c, words=False), ["2 and 2.0", None]) == [["2"], []]
     assert each(numbers.units, ["3 GB"]) == [["3 gb"]]
     assert each(lambda c: F.size(numbers.bounds(c)), ["up to 3 GB"]) == [1]
+
+
+def test_token_list_equals_the_column(each):
+    rows = ["", "One two-three a.b/c x_", "Kelvin İstanbul-x 3.5GB", "한글abc-1 가나 -- a- -b", "plain words", "ΑΣ. a--b e_f"]
+    assert [text.token_list(row) for row in rows] == each(text.tokens, rows)
+
+
+def test_headings_of_a_text_equal_those_of_its_lines(spark):
+    heads = ["1 Introduction", " :II. METHODS AND DATA", "\t Abstract: we show", "APPENDIX b", "2.RESULTS AND OUTLOOK", "Related  Work."]
+    rows = [(n, end.join(["Some prose here.", head, "More prose, of 1 line"])) for n, (head, end) in enumerate(
+        # the point keeps the last one from being a heading
+        (head, end) for head in heads for end in ("\n", "\r\n", "\x0b", " ", "\n\n")
+    )] + [(900, "no heading\nat all"), (901, heads[0])]
+    df = spark.createDataFrame(rows, "n int, t string").withColumn("lines", headings.lines(F.col("t")))
+    got = df.select(
+        "n", F.coalesce(headings.headings(F.col("t"), F.col("lines")), F.transform("lines", lambda _: F.lit(None))).alias("a"),
+        F.transform("lines", lambda raw: headings._title(F.regexp_replace(text.squeeze(raw), "^[ :\t]+|[ :\t]+$", ""))).alias("b"),
+    ).collect()
+    assert all(r.a == r.b for r in got) and sum(any(r.a) for r in got) == 26

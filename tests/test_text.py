@@ -127,6 +127,20 @@ def test_units_and_bounds():
     assert numbers.bound_list("0 < T", False) == ["0||gt"]
 
 
+def test_numbers_are_tried_around_digits_only():
+    texts = [
+        "12 ms, a5.7 b.5 <-3 >= .5 1e-5x 3 million 4 만 x9", "at most 5 up to  6GB below. 7 no less than −8%, BELOW\n9 less than ten",
+        "5 < n 6 ≥ α 7이하 8 보다 작 최대 9 최소 -1 넘는 2 까지", "٣ ms 1.2.3,4 5 x 5x--6 .7.8 +.9e+1 12345 이상", "no digits, at most", "",
+    ]
+    forms = [(form, leads) for told in numbers.BOUND_FORMS.values() for form, _, leads in told]
+    for form, leads in [*forms, (numbers.SCALED, ()), (numbers.STATED, ()), (numbers.MEASURED, ())]:
+        for given in texts:
+            found = numbers.found_at(form, given, numbers.digits_of(given), leads)
+            assert [m.span() for m in found] == [m.span() for m in form.finditer(given)], (form, given)
+        assert not list(numbers.found_at(form, "never tried 5", [], leads))
+    assert numbers.number_set("ONE, two-ſix, often tenth 3rd ten_ ﬁve é eight", True) == {"1", "2", "3", "6", "8"}
+
+
 def test_number_columns(each):
     assert each(lambda c: numbers.numbers(c, words=False), ["2 and 2.0", None]) == [["2"], []]
     assert each(numbers.units, ["3 GB"]) == [["3 gb"]]

@@ -84,7 +84,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def sparse_rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Indices and values of each text's features."""
+    """Indices and values of each text's features, made for texts of about SLICE bytes at once: the
+    n-grams of a text, all in memory, take some fifty times its size."""
+    ends = np.cumsum([len(t) for t in texts]) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    return [row for low, high in zip(cuts, cuts[1:]) if low < high for row in _sparse_rows(texts[low:high])]
+
+
+def _sparse_rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     keys, shares = [], []
     counts = np.zeros((FAMILIES, len(texts)))
     parts = [*_families(texts)]

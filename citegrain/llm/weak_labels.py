@@ -141,9 +141,8 @@ def fit(documents: DataFrame, max_rows: int = 2000) -> tuple[LabelModel, Scorer
         cast = tables.keep(with_votes(documents))
         model, patterns = fit_labels(cast)
         y = model.posterior(_digits(patterns)) if len(patterns) else np.zeros(0)
-        known = spark.createDataFrame(
-            [(int(c), float(p), bool(p < 0.5)) for c, p in zip(patterns, y, strict=True)], "pattern long, y double, bad boolean"
-        )
+        # an Arrow table needs no Python workers of its own, as rows would
+        known = spark.createDataFrame(pa.table({"pattern": pa.array(patterns, pa.int64()), "y": y, "bad": y < 0.5}))
         texts = tables.keep(
             cast.where("h is not null").groupBy("h").agg(F.min("pattern").alias("pattern"), F.min("key").alias("key"))
             .join(F.broadcast(known), "pattern")
